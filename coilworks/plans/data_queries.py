@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coilworks.operators import nested
+from coilworks.operators import nested, units
 from coilworks.session import table
 
 
@@ -19,5 +19,9 @@ def _flat(name: str):
     return query
 
 
-QUERIES = {"p1_found": p1_found} | {f"p1_{name}": _flat(name) for name in ("assemblies", "components", "entities", "links")}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.standard_values(table(spark, sf_dir, "sample_conditions"), table(spark, sf_dir, "filter_defaults"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found} | {f"p1_{name}": _flat(name) for name in ("assemblies", "components", "entities", "links")}
 SQL: dict[str, str] = {}
