@@ -225,8 +225,9 @@ def read_range(text: str | None, unit: str | None, assume: str | None, correct:
     if not text:
         return ()
     dims = KIND[quantity]
-    lead = re.match(r"\s*([^\d:]+):", text)
+    lead = re.match(r"\s*([^:]+):", text)
     leading = whole_unit(lead[1], dims) if lead else None
+    lead = lead if leading else None
     lo, hi, spread = _bounds(text[lead.end() :] if lead else text, dims)
     if lo is None and hi is None:
         return ()
