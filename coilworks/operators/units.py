@@ -11,24 +11,29 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coilworks.functions import units
 
 _LIMIT = 2**63
 
+# types as objects: workers import this module, where there is no session to parse them
+_VALUE = T.StructType().add("quantity", T.StringType()).add("std_value", T.LongType())
+_BOUNDS = T.ArrayType(T.StructType().add("quantity", T.StringType()).add("bound_side", T.StringType()).add("std_value", T.LongType()))
+
 
 def _fits(value: int) -> bool:
     return -_LIMIT <= value < _LIMIT
 
 
-@F.pandas_udf("struct<quantity:string,std_value:bigint>")
+@F.pandas_udf(_VALUE)
 def _condition(var_type: pd.Series, val: pd.Series, val_units: pd.Series) -> pd.DataFrame:
     got = [units.read_condition(*row) for row in zip(var_type, val, val_units)]
     got = [g if g and _fits(g[1]) else (None, None) for g in got]
     return pd.DataFrame({"quantity": pd.Series([g[0] for g in got], dtype=object), "std_value": pd.Series([g[1] for g in got], dtype="Int64")})
 
 
-@F.pandas_udf("array<struct<quantity:string,bound_side:string,std_value:bigint>>")
+@F.pandas_udf(_BOUNDS)
 def _ranges(t: pd.Series, tu: pd.Series, i: pd.Series, iu: pd.Series, assume: pd.Series, correct: pd.Series) -> pd.Series:
     out = []
     for a, b, c, d, e, f in zip(t, tu, i, iu, assume, correct):
