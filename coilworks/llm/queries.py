@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coilworks.llm import grouping, overlap
+from coilworks.llm import canonical, grouping, leaks, overlap
 from coilworks.session import table
 
 
@@ -28,6 +28,22 @@ def p4_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_report(_assigned(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(p6_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.normalize(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "canon")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_counts": p3_counts,
@@ -35,5 +51,9 @@ QUERIES = {
     "p4_forest": _related(grouping.forest_edges),
     "p4_splits": _assigned,
     "p4_split_report": p4_split_report,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p8_found": p8_found,
+    "p8_texts": p8_texts,
 }
 SQL: dict[str, str] = {}
