@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coilworks.llm import canonical, grouping, leaks, overlap
+from coilworks.llm import canonical, grouping, leaks, overlap, terms
 from coilworks.session import table
 
 
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "filter_defaults"), table(spark, sf_dir, "entities"), table(spark, sf_dir, "ref_terms")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.canonical_terms(*_typed(spark, sf_dir)).select("field_name", "row_id", "item_no", "term_id")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.unmatched(*_typed(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.row_pairs(table(spark, sf_dir, "entities"))
 
@@ -45,6 +57,8 @@ def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p4_found": _related(grouping.related_rows),
