@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coilworks.llm.lookalikes import skeleton
+from coilworks.session import spread
 
 SIMILARITY = 0.4  #: Jaccard similarity a candidate needs
 NO_VALUE = frozenset(("", ".", "-", "n/a", "none"))
@@ -98,26 +99,31 @@ def token_set(words: tuple[str, ...]) -> list[str]:
     return list(out)
 
 
-def osa(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours."""
+def _last_row(a: str, b: str) -> list[int]:
+    """Edit distances, with swaps of neighbours, from ``a`` to every prefix of ``b``."""
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
         for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            d = last[j - 1] if x == y else 1 + min(last[j], row[j - 1], last[j - 1])
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             row.append(d)
         before, last = last, row
-    return last[-1]
+    return last
 
 
-@lru_cache(maxsize=65536)
+def osa(a: str, b: str) -> int:
+    return 0 if a == b else _last_row(a, b)[-1]
+
+
+@lru_cache(maxsize=262144)
 def _word_cost(w: str, m: str) -> tuple[int, int]:
     """(edits, edits if ``w`` is ``m`` cut short)."""
-    whole = osa(w, m)
-    cut = min((osa(w, m[:n]) for n in range(max(3, (len(m) + 1) // 2), len(m))), default=99) if len(w) >= 3 else 99
-    return whole, cut
+    if w == m:
+        return 0, 99
+    row = _last_row(w, m)
+    return row[-1], min(row[max(3, (len(m) + 1) // 2) : len(m)], default=99) if len(w) >= 3 else 99
 
 
 def allowed(letters: int) -> int:
@@ -127,9 +133,12 @@ def allowed(letters: int) -> int:
 
 def cost(value: tuple[str, ...], name: tuple[str, ...]) -> float | None:
     """Edits between a value and a name, words in any order; None if they are more than typing errors."""
+    if value == name:
+        return 0.0
     joined_v, joined_n = "".join(value), "".join(name)
     limit = allowed(len(joined_n))
-    best = osa(joined_v, joined_n) if len(joined_v) >= 4 or joined_v == joined_n else 99
+    near = abs(len(joined_v) - len(joined_n)) <= limit and (len(value) != len(name) or len(value) == 1)
+    best = osa(joined_v, joined_n) if (len(joined_v) >= 4 and near) or joined_v == joined_n else 99
     if len(value) == len(name):
         free, total, cut, worst_ok = list(name), 0.0, False, True
         for w in sorted(value, key=lambda w: min(_word_cost(w, m)[0] / max(len(m), 1) for m in name)):
@@ -158,7 +167,7 @@ def _norm(text: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _tokens(norm: pd.Series) -> pd.Series:
-    return norm.map(lambda t: token_set(tuple(t.split(" "))))
+    return norm.map(lambda t: None if t is None else token_set(tuple(t.split(" "))))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -199,7 +208,7 @@ def match(values: DataFrame, reference: DataFrame) -> DataFrame:
     spelled = reference.select("kind", "term_id", F.explode(F.array_compact(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name")).withColumn("norm", _norm("name")).filter("norm is not null")
     names = spelled.groupBy("kind", "norm").agg(F.min("term_id").alias("term_id")).withColumn("id", F.struct("kind", "norm", "term_id"))
     found = similarity_join(keyed.select("kind", "id", _tokens("norm").alias("tokens")), names.select("kind", "id", _tokens("norm").alias("tokens")))
-    scored = found.withColumn("edits", _cost("left_id.norm", "right_id.norm")).filter("edits is not null and not isnan(edits)")
+    scored = spread(found).withColumn("edits", _cost("left_id.norm", "right_id.norm")).filter("edits is not null and not isnan(edits)")
     best = scored.groupBy("left_id").agg(F.min(F.struct("edits", (-F.col("similarity")).alias("s"), F.col("right_id.term_id").alias("term_id"))).alias("b"))
     hits = best.select(F.col("left_id.kind").alias("kind"), F.col("left_id.norm").alias("norm"), F.col("b.term_id").alias("term_id"))
     return distinct.join(hits, ["kind", "norm"], "left").select("kind", "norm", F.coalesce("term_id", F.lit(0).cast("bigint")).alias("term_id"))
