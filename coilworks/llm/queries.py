@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coilworks.llm import canonical, grouping, leaks, overlap, terms
+from coilworks.llm import canonical, grouping, leaks, mixing, overlap, terms
 from coilworks.session import table
 
 
@@ -48,6 +48,14 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(p6_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.alike_pairs(table(spark, sf_dir, "documents"))
 
@@ -67,6 +75,8 @@ QUERIES = {
     "p4_split_report": p4_split_report,
     "p6_found": p6_found,
     "p6_items": p6_items,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_texts": p8_texts,
 }
