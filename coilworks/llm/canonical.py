@@ -155,7 +155,7 @@ def normalize(documents: DataFrame, id_column: str = "doc_id", name: str = "cano
 
     Texts that look the same become equal, texts that look different stay
     different. Null stays null, empty stays empty; all columns and rows are kept,
-    repeated ones too.
+    repeated ones too; a column already called ``name`` is replaced.
     """
     texts = documents.select("text").filter("text is not null")
     found = checkpoint(dictionary(texts))
@@ -175,7 +175,7 @@ def normalize(documents: DataFrame, id_column: str = "doc_id", name: str = "cano
 
     used = documents.filter(~F.col("text").rlike(_ASCII)).select(F.col(id_column).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word"))
     used = used.filter(~F.col("word").rlike(_ASCII)).join(found, "word").groupBy("_id").agg(F.collect_list(F.struct("word", "canon")).alias("_words"))
-    joined = documents.join(used, documents[id_column] == used["_id"], "left")
+    joined = documents.drop("_words").join(used, documents[id_column] == used["_id"], "left")
     return joined.withColumn(name, with_words("text", F.col("_words.word"), F.col("_words.canon"))).drop("_id", "_words")
 
 

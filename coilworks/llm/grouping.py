@@ -153,6 +153,7 @@ def assign_splits(entities: DataFrame, links: DataFrame, targets: DataFrame) ->
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """data_split, target_share, rows, share: what was reached."""
     got = assigned.groupBy("new_split").agg(F.count("*").alias("rows"))
-    rows = targets.join(got, targets.data_split == got.new_split, "left").select("data_split", "target_share", F.coalesce("rows", F.lit(0)).alias("rows"))
+    wanted = targets.select("data_split", "target_share")
+    rows = wanted.join(got, F.col("data_split") == F.col("new_split"), "left").select("data_split", "target_share", F.coalesce("rows", F.lit(0)).alias("rows"))
     # one row for each split
     return rows.withColumn("share", F.coalesce(F.try_divide(F.col("rows"), F.sum("rows").over(Window.partitionBy())), F.lit(0.0)))

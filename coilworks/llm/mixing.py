@@ -157,7 +157,7 @@ def expand(mixed: DataFrame) -> DataFrame:
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, max_repeats, documents, most_copies, tokens, share: what the mix reached."""
     got = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    named = targets.withColumn("source", source_name(F.col("source")))
+    named = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
     rows = named.join(got, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "most_copies", "tokens")])
     # one row for each source
     return rows.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))
