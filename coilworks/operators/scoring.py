@@ -22,11 +22,13 @@ N_ATOMS = 7
 MIN_AIC = 6.0
 OUTLIER = 6.0
 WINDOW = 9
-PEP = Window.partitionBy("pep")
-BY_POS = PEP.orderBy("pos")
 X = [f"x{j}" for j in range(N_ATOMS)]
 
 
+def _pep():
+    return Window.partitionBy("pep")
+
+
 def _sum(cols: list[Column]) -> Column:
     return reduce(add, cols)
 
@@ -51,8 +53,8 @@ def with_scores(df: DataFrame, tag: str = "", offsets: list[Column] | None = Non
     cells = [F.pow(F.least(F.abs(F.col(x) - o), F.lit(CAP)), 2.0) for x, o in zip(X, off)]
     df = df.withColumns({f"tot{tag}": _sum([_zero(c) for c in cells]), f"k{tag}": _sum([F.col(x).isNotNull().cast("int") for x in X])})
     tot, k = F.col(f"tot{tag}"), F.col(f"k{tag}")
-    three = BY_POS.rowsBetween(-1, 1)
-    df = df.withColumns({f"tot3{tag}": F.sum(tot).over(three), f"k3{tag}": F.sum(k).over(three), "_lo": F.min(F.when(k > 0, F.col("pos"))).over(PEP), "_hi": F.max(F.when(k > 0, F.col("pos"))).over(PEP)})
+    three = _pep().orderBy("pos").rowsBetween(-1, 1)
+    df = df.withColumns({f"tot3{tag}": F.sum(tot).over(three), f"k3{tag}": F.sum(k).over(three), "_lo": F.min(F.when(k > 0, F.col("pos"))).over(_pep()), "_hi": F.max(F.when(k > 0, F.col("pos"))).over(_pep())})
     inside = F.col("pos").between(F.col("_lo"), F.col("_hi"))
     t3, k3 = F.col(f"tot3{tag}"), F.col(f"k3{tag}")
     return df.withColumns(
@@ -68,11 +70,11 @@ def outliers(tag: str = "", offsets: list[Column] | None = None) -> list[Column]
     return [F.col(x).isNotNull() & (residue | _yes(F.abs(F.col(x) - o) > OUTLIER)) for x, o in zip(X, off)]
 
 
-def global_offsets(cells: list[Column], over=PEP) -> list[Column]:
+def global_offsets(cells: list[Column]) -> list[Column]:
     """Mean of each atom's accepted cells, 0 if fewer than 4 or if dAIC = n ln(rms / sd) - 1 is below 6."""
     out = []
     for c in cells:
-        n, mean, rms, sd = F.count(c).over(over), F.avg(c).over(over), F.sqrt(F.avg(c * c).over(over)), F.stddev_pop(c).over(over)
+        n, mean, rms, sd = F.count(c).over(_pep()), F.avg(c).over(_pep()), F.sqrt(F.avg(c * c).over(_pep())), F.stddev_pop(c).over(_pep())
         out.append(F.when(n < 4, 0.0).when(sd == 0, mean).when(F.ln(rms / sd) * n - 1 < MIN_AIC, 0.0).otherwise(mean))
     return out
 
@@ -91,13 +93,13 @@ def rolling(df: DataFrame) -> DataFrame:
 def best_window(df: DataFrame) -> DataFrame:
     """Adds best_pos: where the mean rolling sd over all atoms seen in the peptide is least (ties: first); null if nowhere complete."""
     df = rolling(df)
-    seen = [F.max(F.col(x).isNotNull()).over(PEP) for x in X]
+    seen = [F.max(F.col(x).isNotNull()).over(_pep()) for x in X]
     df = df.withColumns({f"_any{j}": c for j, c in enumerate(seen)})
     there = [F.col(f"_any{j}") for j in range(N_ATOMS)]
     complete = reduce(and_, [~t | F.col(f"s{j}").isNotNull() for j, t in enumerate(there)])
     n = _sum([t.cast("int") for t in there])
     df = df.withColumn("mean_sd", F.when(complete & (n > 0), _sum([_zero(F.col(f"s{j}")) for j in range(N_ATOMS)]) / n))
-    best = F.min(F.when(F.col("mean_sd").isNotNull(), F.struct("mean_sd", "pos"))).over(PEP)
+    best = F.min(F.when(F.col("mean_sd").isNotNull(), F.struct("mean_sd", "pos"))).over(_pep())
     return df.withColumn("best_pos", best["pos"]).drop(*[f"_any{j}" for j in range(N_ATOMS)])
 
 
@@ -109,7 +111,7 @@ def running_offsets(df: DataFrame) -> DataFrame:
     for j in range(N_ATOMS):
         s, m, r = F.col(f"s{j}"), F.col(f"m{j}"), F.col(f"r{j}")
         accept = F.when(s == 0, r > 0).otherwise(F.ln(r / s) * WINDOW - 1 > MIN_AIC)
-        new[f"o{j}"] = F.max(F.when(here & accept, m)).over(PEP)
+        new[f"o{j}"] = F.max(F.when(here & accept, m)).over(_pep())
     return df.withColumns(new)
 
 
@@ -131,7 +133,7 @@ def corrected(df: DataFrame, max_offset: float | None = 3.0, reject_shift_type_o
     df = with_scores(df, "b", run)
     df = df.withColumns({f"_b{j}": o for j, o in enumerate(outliers("b", run))})
     df = df.withColumns({f"_m{j}": g for j, g in enumerate(global_offsets([F.when(~F.col(f"_b{j}"), F.col(x)) for j, x in enumerate(X)]))})
-    df = df.withColumns({"_ava": F.avg("z3a").over(PEP), "_avb": F.avg("z3b").over(PEP)})
+    df = df.withColumns({"_ava": F.avg("z3a").over(_pep()), "_avb": F.avg("z3b").over(_pep())})
     nonzero = F.greatest(*[(r != 0).cast("int") for r in run]) == 1
     df = df.withColumn("used_running", nonzero & _yes(F.col("_ava") >= F.col("_avb")))
     final = [F.when(F.col("used_running"), F.col(f"_m{j}")).otherwise(F.col(f"_n{j}")) for j in range(N_ATOMS)]
