@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coilworks.llm import canonical, grouping, leaks, mixing, overlap, terms
+from coilworks.llm import canonical, grouping, leaks, mixing, overlap, residues, terms
 from coilworks.session import table
 
 
@@ -80,4 +80,20 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_texts": p8_texts,
 }
-SQL: dict[str, str] = {}
+# residues, split and accession as the operators read them
+_ROWS = "r AS (SELECT ent_row, entry_id, entity_id, feed, lower(trim(data_split)) AS split, upper(regexp_replace(coalesce(seq,''),'[^A-Za-z]','','g')) AS res FROM entities WHERE polymer_type='polypeptide(L)')"
+_PAIRS = _ROWS + (
+    ",h AS (SELECT * FROM r WHERE split IN ('val','test') AND res<>''), t AS (SELECT * FROM r WHERE split='train' AND res<>''),"
+    "p AS (SELECT h.ent_row AS e, t.ent_row AS t, levenshtein(h.res,t.res) AS d FROM h JOIN t ON 100*abs(length(h.res)-length(t.res))<=15*greatest(length(h.res),length(t.res)) WHERE 100*levenshtein(h.res,t.res)<=15*greatest(length(h.res),length(t.res)))"
+)
+_CODE = "regexp_replace(regexp_replace(upper(regexp_replace(accession_code,'[\\s\u00a0]','','g')),'^(" + residues.DATABASES + ")[:|]',''),'\\.\\d+$','')"
+_PLACEHOLDERS = ",".join(f"'{p}'" for p in residues.PLACEHOLDERS)
+# the whole tables: brute force over all pairs of splits, and reachability within groups
+SQL: dict[str, str] = {
+    "p3_found": f"WITH {_PAIRS} SELECT least(e,t) AS ent_row_a, greatest(e,t) AS ent_row_b FROM p",
+    "p3_counts": f"WITH {_PAIRS}, c AS (SELECT e, count(*) AS n, min(d) AS least FROM p GROUP BY e) SELECT split, feed, count(*) AS eval_rows, count(n) AS overlapping_rows, count(*) FILTER (WHERE least=0) AS exact_rows, CAST(coalesce(sum(n),0) AS BIGINT) AS pairs FROM (SELECT ent_row, split, feed FROM r WHERE split IN ('val','test') AND res<>'') x LEFT JOIN c ON ent_row=e GROUP BY split, feed",
+    "p4_found": f"WITH RECURSIVE {_ROWS}, c AS (SELECT DISTINCT entry_id, entity_id, {_CODE} AS code FROM entity_db_links WHERE accession_code IS NOT NULL),"
+    f" k AS (SELECT ent_row, 'a '||code AS key FROM r JOIN c USING (entry_id, entity_id) WHERE lower(code) NOT IN ({_PLACEHOLDERS}) UNION SELECT ent_row, 's '||res FROM r WHERE res<>''),"
+    " hub AS (SELECT key, min(ent_row) AS b FROM k GROUP BY key), e AS (SELECT DISTINCT ent_row AS a, b FROM k JOIN hub USING (key) WHERE ent_row<>b), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
+    " reach AS (SELECT a, b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b=both.a) SELECT a AS ent_row, least(a,min(b)) AS group_row FROM reach GROUP BY a",
+}
