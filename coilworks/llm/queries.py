@@ -94,6 +94,6 @@ SQL: dict[str, str] = {
     "p3_counts": f"WITH {_PAIRS}, c AS (SELECT e, count(*) AS n, min(d) AS least FROM p GROUP BY e) SELECT split, feed, count(*) AS eval_rows, count(n) AS overlapping_rows, count(*) FILTER (WHERE least=0) AS exact_rows, CAST(coalesce(sum(n),0) AS BIGINT) AS pairs FROM (SELECT ent_row, split, feed FROM r WHERE split IN ('val','test') AND res<>'') x LEFT JOIN c ON ent_row=e GROUP BY split, feed",
     "p4_found": f"WITH RECURSIVE {_ROWS}, c AS (SELECT DISTINCT entry_id, entity_id, {_CODE} AS code FROM entity_db_links WHERE accession_code IS NOT NULL),"
     f" k AS (SELECT ent_row, 'a '||code AS key FROM r JOIN c USING (entry_id, entity_id) WHERE lower(code) NOT IN ({_PLACEHOLDERS}) UNION SELECT ent_row, 's '||res FROM r WHERE res<>''),"
-    " hub AS (SELECT key, min(ent_row) AS b FROM k GROUP BY key), e AS (SELECT DISTINCT ent_row AS a, b FROM k JOIN hub USING (key) WHERE ent_row<>b), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
-    " reach AS (SELECT a, b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b=both.a) SELECT a AS ent_row, least(a,min(b)) AS group_row FROM reach GROUP BY a",
+    " hub AS (SELECT key, min(ent_row) AS b FROM k GROUP BY key), e AS (SELECT DISTINCT ent_row AS a, b FROM k JOIN hub USING (key) WHERE ent_row<>b), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"
+    " reach AS (SELECT a, b FROM bi UNION SELECT reach.a, bi.b FROM reach JOIN bi ON reach.b=bi.a) SELECT a AS ent_row, least(a,min(b)) AS group_row FROM reach GROUP BY a",
 }
