@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from coilworks.functions import coil_tables as ct
 from coilworks.functions.chi import hill
-from coilworks.operators import coil, conditions, filters, pka, shifts
+from coilworks.operators import coil, conditions, filters, peptides, pka, shifts
 from coilworks.params import PRESETS
 from coilworks.session import table
+from coilworks.sources import star
 
 RULES = ct.rule_tables()
 
@@ -180,12 +181,48 @@ def shifty_table(spark, d):
     return sinks.shifty_lines(predicted_shifts_ph7(spark, d))
 
 
+def _star_texts(spark, d):
+    """One file text for each chain of a shift table; every seventh table has unknown conditions, every eleventh an unknown experiment."""
+    quoted = lambda c: F.concat(F.lit('"'), F.when(F.coalesce(F.col(c), F.lit("")) == "", ".").otherwise(F.regexp_replace(c, '["\\s]', "")), F.lit('"'))
+    cells = ("entity_assem_id", "entity_id", "seq_id", "comp_id", "atom_id", "atom_type", "val", "val_err", "ambiguity")
+    lines = table(spark, d, "atom_shifts").select(*shifts.PEPTIDE, F.concat_ws(" ", *[quoted(c) for c in cells]).alias("line"))
+    chains = lines.groupBy(*shifts.PEPTIDE).agg(F.concat_ws("\n", F.collect_list("line")).alias("lines"))
+    n = F.col("st_id").cast("int")
+    blank = F.when(F.col("entity_assem_id").cast("int") % 3 == 0, ".").otherwise(F.col("entity_id"))
+    second = F.when(F.col("entity_id") == "3", F.concat(F.lit("\n"), F.col("entity_assem_id"), F.lit(" . $y native"))).otherwise("")
+    frame = lambda name, category, *parts: [F.lit(f"save_{name}\n_X.Sf_category {category}\n"), *parts, F.lit("\nsave_\n")]
+    loop = lambda category, tags: F.lit("loop_\n" + "\n".join(f"_{category}.{x}" for x in tags) + "\n")
+    stop = F.lit("\nstop_")
+    text = F.concat(
+        F.lit("data_x\n"),
+        *frame("a", "assembly", F.lit("_Assembly.ID 1\n"), loop("Entity_assembly", ("ID", "Entity_ID", "Entity_label", "Physical_state")), F.concat_ws(" ", "entity_assem_id", blank, F.lit("$x native")), second, stop),
+        *frame("e", "entity", F.lit("_Entity.Type polymer\n_Entity.Polymer_type polypeptide(L)\n_Entity.ID "), F.col("entity_id")),
+        *frame("c", "sample_conditions", F.lit("_Sample_condition_list.ID 1")),
+        *frame("x", "experiment_list", loop("Experiment", ("ID", "Name", "Sample_ID")), F.lit("1 HSQC ."), stop),
+        *frame("s", "assigned_chemical_shifts", F.lit("_L.ID "), F.col("st_id"), F.lit("\n_L.Sample_condition_list_ID "), F.when(n % 7 == 0, "9").otherwise("1"), F.lit("\n"), loop("Chem_shift_experiment", ("Experiment_ID", "Sample_ID")), F.when(n % 11 == 0, "9").otherwise("1"), F.lit(" ."), stop,
+               F.lit("\n"), loop("Atom_chem_shift", ("Entity_assembly_ID", "Entity_ID", "Seq_ID", "Comp_ID", "Atom_ID", "Atom_type", "Val", "Val_err", "Ambiguity_code")), F.col("lines"), stop),
+    )
+    return chains.select("entry_id", text.alias("text"))
+
+
+def star_parse(spark, d):
+    """Shift rows of each chain after a round trip through the file format."""
+    got = star.parse(_star_texts(spark, d)).select("entry_id", F.explode("entry.shift_tables").alias("t")).select("entry_id", F.col("t.id").alias("st_id"), F.inline("t.shifts"))
+    return got.groupBy(*shifts.PEPTIDE).agg(F.count("*").alias("n_rows"), F.count_if(F.col("val") == "").alias("no_value"), F.sum(F.length("seq_id") + F.length("atom_id") + F.length("val")).alias("letters"))
+
+
+def peptide_key_resolution(spark, d):
+    """Chains whose conditions, experiments, assembly component and polymer are found."""
+    rows = peptides.peptides(star.parse(_star_texts(spark, d)), PRESETS["unfiltered"])
+    return rows.select(*shifts.PEPTIDE, F.size("shifts").cast("bigint").alias("n_rows"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         condition_temperature, condition_ionic, condition_ph, sequence_fractions, method_filter, keyword_hits, denaturant_hits, latest_entity, shift_tests, shift_cells, shift_rejects, shift_averages, shift_coverage,
         prefilter_flags, filter_losses, postfilter_flags, pentamer_context, residue_classes, neighbour_correction, pair_combination, temperature_correction, predicted_shifts_ph7, hill_fraction, ph_shift_fixed_pka,
-        predicted_shifts_fixed_pka, pka_titration, predicted_shifts, shifty_table,
+        predicted_shifts_fixed_pka, pka_titration, predicted_shifts, shifty_table, star_parse, peptide_key_resolution,
     )
 }
 
@@ -347,7 +384,10 @@ def _six(make) -> str:
 
 
 _DEN = PRESETS["strict"].chemical_denaturants
+_CLEAN = "(CASE WHEN {c} IS NULL OR {c}='' OR regexp_replace({c},'[\"\\s]','','g')='.' THEN '' ELSE regexp_replace({c},'[\"\\s]','','g') END)"
 SQL = {
+    "star_parse": f"SELECT {_KEY}, count(*) AS n_rows, count(*) FILTER (WHERE {_CLEAN.format(c='val')}='') AS no_value, CAST(sum(length({_CLEAN.format(c='seq_id')})+length({_CLEAN.format(c='atom_id')})+length({_CLEAN.format(c='val')})) AS BIGINT) AS letters FROM atom_shifts GROUP BY {_KEY}",
+    "peptide_key_resolution": f"SELECT {_KEY}, count(*) AS n_rows FROM atom_shifts WHERE CAST(st_id AS INT)%7<>0 AND CAST(st_id AS INT)%11<>0 AND NOT (entity_id='3' AND CAST(entity_assem_id AS INT)%3=0) GROUP BY {_KEY}",
     "condition_temperature": f"WITH {COND} SELECT entry_id, cond_list_id, " + ", ".join(f"round({_sql_temperature(*x)},6) AS {n}_k" for n, *x in _LEVELS) + " FROM cn",
     "condition_ionic": f"WITH {COND} SELECT entry_id, cond_list_id, " + ", ".join(f"round({_sql_ionic(*x)},6) AS {n}_m" for n, *x in _LEVELS) + " FROM cn",
     "condition_ph": f"WITH {COND} SELECT entry_id, cond_list_id, coalesce(ph_n,7e0) AS with_default, ph_n AS as_given FROM cn",
