@@ -18,13 +18,16 @@ part. Statistics of the index are those of all items.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coilworks.llm.lookalikes import words
+from coilworks.session import checkpoint
 
 RUN = 15  #: consecutive words that make a leak
 BLOCK = 16  #: items in a block of the index
@@ -107,17 +110,29 @@ class Part:
         return any(tuple(ws[p : p + self.run]) in known for p in range(start, min(start + self.run - 1, last) + 1))
 
 
-def build_parts(items: list[tuple[int, list[str]]], run: int = RUN) -> list[Part]:
-    """Index parts of the items that have at least ``run`` words; shorter ones cannot leak a run."""
-    items = sorted((i, t) for i, t in items if len(t) >= run)
-    if not items:
-        return []
+class Statistics(NamedTuple):
+    """Counts over all items of at least a run's length."""
+
+    items: int
+    mean_len: float
+    df: dict[str, int]  #: in how many items a word stands
+
+
+def statistics(items: list[tuple[int, list[str]]]) -> Statistics:
     df: dict[str, int] = {}
     for _, t in items:
         for w in set(t):
             df[w] = df.get(w, 0) + 1
-    idf = {w: float(np.log1p((len(items) - n + 0.5) / (n + 0.5))) for w, n in df.items()}
-    mean_len = sum(len(t) for _, t in items) / len(items)
+    return Statistics(len(items), sum(len(t) for _, t in items) / max(len(items), 1), df)
+
+
+def build_parts(items: list[tuple[int, list[str]]], run: int = RUN, stats: Statistics | None = None) -> list[Part]:
+    """Index parts of the items that have at least ``run`` words; shorter ones cannot leak a run."""
+    items = sorted((i, t) for i, t in items if len(t) >= run)
+    if not items:
+        return []
+    n_all, mean_len, df = stats or statistics(items)
+    idf = {w: float(np.log1p(max(n_all - df[w] + 0.5, 0.5) / (df[w] + 0.5))) for _, t in items for w in t}
     return [Part([i for i, _ in items[k : k + PART_ITEMS]], [t for _, t in items[k : k + PART_ITEMS]], idf, mean_len, run) for k in range(0, len(items), PART_ITEMS)]
 
 
@@ -129,8 +144,6 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = ((r.item_id, words(r.item_text)) for r in items.select("item_id", "item_text").filter("item_text is not null").toLocalIterator())
-    parts = build_parts(list(rows), run)  # an evaluation set: bounded by what is asked of models, see README
 
     def query(shipped):
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +161,44 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
         return docs.mapInPandas(scan, "doc_id bigint, item_id bigint")
 
     out = None
-    for k in range(0, max(len(parts), 1), PASS_PARTS):
-        one = query(spark.sparkContext.broadcast(parts[k : k + PASS_PARTS]))
+    for parts in _passes(items, run):
+        one = query(spark.sparkContext.broadcast(parts))
         out = one if out is None else out.union(one)
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(text: pd.Series) -> pd.Series:
+    return text.map(words, na_action="ignore")
+
+
+def _passes(items: DataFrame, run: int) -> Iterator[list[Part]]:
+    """The index in lists of at most PASS_PARTS parts, each built from the items of one hash class.
+
+    A set that fits one list is read once. A larger one is cut by the hash of the
+    item, its word counts are made by Spark, and only the counts of a class's own
+    words come to the driver with it.
+    """
+    most = PASS_PARTS * PART_ITEMS
+    read = items.select("item_id", "item_text").filter("item_text is not null")
+    total = read.count()
+    if total <= most:
+        yield build_parts([(r.item_id, words(r.item_text)) for r in read.toLocalIterator()], run)
+        return
+    classes = -(-total // (most // 2))
+    cut = checkpoint(read.select("item_id", _words("item_text").alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(classes)).alias("c")).filter(F.size("w") >= run))
+    whole = cut.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).collect()[0]
+    counts = checkpoint(cut.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    for c in range(classes):
+        mine = cut.filter(F.col("c") == c)
+        own = mine.select(F.explode("w").alias("word")).distinct().join(counts, "word")
+        df = {r.word: r.df for r in own.toLocalIterator()}
+        parts = build_parts([(r.item_id, list(r.w)) for r in mine.select("item_id", "w").toLocalIterator()], run, Statistics(whole.n, float(whole["mean"] or 0), df))
+        # a class may be larger than the mean
+        for k in range(0, max(len(parts), 1), PASS_PARTS):
+            yield parts[k : k + PASS_PARTS]
+
+
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, benchmark, held, documents: in how many documents each item leaks, none included."""
     counts = found.groupBy("item_id").agg(F.count("*").alias("documents"))

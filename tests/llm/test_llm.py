@@ -174,7 +174,7 @@ def test_any_text_has_words(text):
 # --- problem 6
 
 
-def test_leaks_are_those_of_brute_force(spark):
+def test_leaks_are_those_of_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(60)] + ["the", "of"] * 20
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([5, 14, 15, 16, 60, 100])))) for i in range(40)]
@@ -198,6 +198,9 @@ def test_leaks_are_those_of_brute_force(spark):
     D = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     I = spark.createDataFrame(items, "item_id bigint, item_text string")  # noqa: E741
     assert sorted(map(tuple, leaks.leaks(D, I).collect())) == want and want
+    monkeypatch.setattr(leaks, "PASS_PARTS", 2)
+    monkeypatch.setattr(leaks, "PART_ITEMS", 5)  # 42 items in several passes
+    assert sorted(map(tuple, leaks.leaks(D, I).collect())) == want
     assert leaks.leaks(D.limit(0), I).count() == 0 and leaks.leaks(D, I.limit(0)).count() == 0
 
 
