@@ -17,8 +17,7 @@ GREEK = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ"
 GREEK_AS = "oABEZHIKMNOPTYXcj"
 
 # fixed values: two code points of one sign that canonical decomposition leaves apart
-TWINS = {"µ": "μ", "∆": "Δ", "∑": "Σ", "∏": "Π", "‑": "‐", "Ω": "Ω", "ſ": "s", "ɑ": "a", "ɡ": "g"}
-del TWINS["ſ"], TWINS["ɑ"]  # these are drawn differently
+TWINS = {"\u00b5": "\u03bc", "\u2206": "\u0394", "\u2211": "\u03a3", "\u220f": "\u03a0", "\u2011": "\u2010"}
 
 _ALIKE = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)) | TWINS
 

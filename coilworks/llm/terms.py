@@ -39,11 +39,12 @@ _AMOUNT = re.compile(rf"(?<![\w.,])\d+(?:[.,]\d+)?\s*(?:%\s*[vw]\s*/\s*[vw]|{_UN
 _BATCH = re.compile(r"\b(?:batch|lot|no\.?)\s*\d+\b")
 
 
-
-def _mixed(word: str) -> str:
-    """A word that begins with the micro sign is a measure unless a name is written so."""
-    rest = word[1:]
-    return word if word.isascii() or rest in ("m", "mol", "l", "g") or not re.search("[a-z]", rest) else "".join(SMALL_OF_LOOKALIKES.get(c, c) for c in word)
+def _latin(match: re.Match) -> str:
+    """Small look-alikes of capitals within a word that has Latin letters; a measure keeps its micro sign."""
+    word = match[0]
+    if word.isascii() or not re.search("[a-z]", word) or re.fullmatch("[µμ](?:m|mol|l|g)", word):
+        return word
+    return "".join(SMALL_OF_LOOKALIKES.get(c, c) for c in word)
 
 
 def _is_remark(word: str) -> bool:
@@ -53,12 +54,12 @@ def _is_remark(word: str) -> bool:
 def _plain(text: str) -> str:
     # lower case may bring out further look-alikes
     t = skeleton(skeleton(text).lower()).replace("_", " ")
-    t = re.sub(r"\w+", lambda m: "".join(SMALL_OF_LOOKALIKES.get(c, c) for c in m[0]) if re.search("[a-z]", m[0]) and not m[0].isascii() and m[0][0] not in "µμ" else _mixed(m[0]), t)
+    t = re.sub(r"\w+", _latin, t)
     t = re.sub(r"[\"'*?!;\[\]{}]|\.{2,}|…", " ", t)
     t = re.sub(r"(?<=[\s\d])-(?=\s|\d)|(?<=\s)-|-(?=\s)", " ", f" {t} ")
-    # remarks and amounts may be repeated and nested in one another's reach
-    for _ in range(3):
-        t = re.sub(r"\s\([^()]*\)(?=[\s.,;]|$)", " ", t)
+    # remarks may be repeated and nested
+    while (shorter := re.sub(r"\s\([^()]*\)(?=[\s.,;]|$)", " ", t)) != t:
+        t = shorter
     return t
 
 
@@ -157,9 +158,6 @@ def cost(value: tuple[str, ...], name: tuple[str, ...]) -> float | None:
     return best if best <= limit + 0.5 and (best == 0 or limit > 0) else None
 
 
-
-
-
 @F.pandas_udf(T.StringType())
 def _norm(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None or skeleton(t).strip().lower() in NO_VALUE else " ".join(words_of(t)))
