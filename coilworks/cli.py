@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--score-types", nargs="+", choices=SCORE_TYPES, default=list(SCORE_TYPES))
     p.add_argument("--offset-correction", type=_flag, default=True)
     p.add_argument("--precision", type=int, default=4)
+    p.add_argument("--include-shifts", action="store_true")
+    p.add_argument("--no-shift-averaging", action="store_true")
     for f in fields(Filters):
         name, value = f"--{f.name.replace('_', '-')}", f.default
         if isinstance(value, bool):
@@ -61,7 +63,7 @@ def main(argv: list[str] | None = None) -> None:
 
     args, f = options(argv)
     spark = SparkSession.builder.appName("coilworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    report = dataset.run(spark, args.input_dir, args.output, f, args.output_format, args.file_pattern, load_tables(args.coil_tables), args.offset_correction, args.precision, tuple(args.score_types))
+    report = dataset.run(spark, args.input_dir, args.output, f, args.output_format, args.file_pattern, load_tables(args.coil_tables), args.offset_correction, args.precision, tuple(args.score_types), args.include_shifts, not args.no_shift_averaging)
     report.show(200, truncate=False)
 
 

@@ -14,7 +14,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from coilworks.functions.coil_tables import PK0
 from coilworks.session import spread

@@ -19,8 +19,7 @@ class Dataset(NamedTuple):
     peptides: DataFrame  #: all peptides with pass_pre and pass_post
     nested: DataFrame  #: the passing ones with their arrays
     failed: DataFrame  #: entry_id, error
-
-
+    tests: DataFrame  #: shift rows with their tests
 
 
 def comparisons(passing: DataFrame, tests: DataFrame, tables: CoilTables | None) -> DataFrame:
@@ -58,14 +57,32 @@ def build(entries: DataFrame, f: Filters, tables: CoilTables | None = None, offs
     done = filters.postfilter(joined, f)
     fields = ["exp_method", "exp_method_subtype", "citation_doi", "citation_title", "ionic_strength", "ph", "temperature", *[f"off_{a}" for a in ATOMS], "positions_post", "types_post", "total", "seq"]
     nested = done.filter("pass_post").select(F.col("pep").alias("id"), *shifts.PEPTIDE, "entity_name", *fields, F.col("_r.k").alias("k"), F.col("_r.z").alias("zscores"), F.col("_r.p").alias("pscores"))
-    return Dataset(done.drop("_r"), nested, entries.filter("error is not null").select("entry_id", "error"))
+    return Dataset(done.drop("_r"), nested, entries.filter("error is not null").select("entry_id", "error"), tests)
+
+
+def shift_columns(averaging: bool = True) -> tuple[str, ...]:
+    """Names of the shift arrays: seven atoms, and the single protons without averaging."""
+    return tuple(f"shift_{a}" for a in (ATOMS if averaging else (*ATOMS, *shifts.EXTRA)))
+
+
+def with_shifts(nested: DataFrame, tests: DataFrame, averaging: bool = True) -> DataFrame:
+    """``nested`` with one array by position for each atom; null where nothing was observed."""
+    key = list(shifts.PEPTIDE)
+    names = [c.removeprefix("shift_") for c in shift_columns(averaging)]
+    cells = shifts.averaged(tests) if averaging else shifts.cell_values(tests).withColumn("atom", F.col("atom_id"))
+    cells = cells.join(nested.select(*key), key, "left_semi")
+    wide = cells.groupBy(*key, "pos").agg(*[F.max(F.when(F.col("atom") == a, F.col("value"))).alias(a) for a in names])
+    grid = nested.select(*key, F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("pos"))
+    rows = grid.join(wide, [*key, "pos"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_s"))
+    return nested.join(rows.select(*key, *[F.col(f"_s.{a}").alias(f"shift_{a}") for a in names]), key)
 
 
 def long_rows(nested: DataFrame, score_types: tuple[str, ...] = SCORE_TYPES) -> DataFrame:
-    """One row a residue of the passing peptides, scores in the order asked for."""
+    """One row a residue of the passing peptides, scores in the order asked for, then the shifts if there are any."""
     check_scores(score_types)
-    rows = nested.select("id", *shifts.PEPTIDE, "entity_name", F.posexplode(F.arrays_zip(F.split("seq", "").alias("seq"), "k", *score_types)).alias("_p", "_e"))
-    return rows.select("id", *shifts.PEPTIDE, "entity_name", (F.col("_p") + 1).alias("seq_index"), "_e.seq", "_e.k", *[f"_e.{s}" for s in score_types])
+    more = [*score_types, *[c for c in nested.columns if c.startswith("shift_")]]
+    rows = nested.select("id", *shifts.PEPTIDE, "entity_name", F.posexplode(F.arrays_zip(F.split("seq", "").alias("seq"), "k", *more)).alias("_p", "_e"))
+    return rows.select("id", *shifts.PEPTIDE, "entity_name", (F.col("_p") + 1).alias("seq_index"), "_e.seq", "_e.k", *[f"_e.{s}" for s in more])
 
 
 def check_scores(score_types: tuple[str, ...]) -> None:
@@ -73,16 +90,17 @@ def check_scores(score_types: tuple[str, ...]) -> None:
         raise ValueError(f"unknown score types {wrong}: {', '.join(SCORE_TYPES)}")
 
 
-def run(spark: SparkSession, folder: str, out: str, f: Filters, kind: str = "csv", pattern: str = star.FILE_PATTERN, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4, score_types: tuple[str, ...] = SCORE_TYPES) -> DataFrame:
+def run(spark: SparkSession, folder: str, out: str, f: Filters, kind: str = "csv", pattern: str = star.FILE_PATTERN, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4, score_types: tuple[str, ...] = SCORE_TYPES, include_shifts: bool = False, averaging: bool = True) -> DataFrame:
     """Builds the dataset of a folder, writes it to ``out`` and returns the loss report."""
     if kind not in FORMATS:
         raise ValueError(f"unknown output format {kind!r}: {', '.join(FORMATS)}")
     check_scores(score_types)
     entries = checkpoint(star.read_entries(spark, folder, pattern))
     got = build(entries, f, tables, offset_correction, precision)
+    nested = with_shifts(got.nested, got.tests, averaging) if include_shifts else got.nested
     if kind == "csv":
-        long_rows(got.nested, score_types).write.mode("overwrite").option("header", True).csv(out)
+        long_rows(nested, score_types).write.mode("overwrite").option("header", True).csv(out)
     else:
         drop = [s for s in SCORE_TYPES if s not in score_types]
-        got.nested.drop(*drop).write.mode("overwrite").option("ignoreNullFields", False).json(out)
+        nested.drop(*drop).write.mode("overwrite").option("ignoreNullFields", False).json(out)
     return filters.losses(got.peptides, f)

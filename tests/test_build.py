@@ -143,11 +143,17 @@ def test_build_end_to_end(spark, folder, tmp_path):
     flags = {r.entry_id: (r.pass_pre, r.pass_post) for r in got.peptides.collect()}
     # 2, 3 and 5 have no usable shift table; 9 and 10 have rejected shifts
     assert flags == {"1": (True, flags["1"][1]), "6": (True, flags["1"][1]), "7": (False, False), "8": (False, False), "9": (False, False), "10": (False, False)}
-    nested = dataset.build(entries, preset("unfiltered"), ct.rule_tables()).nested
+    whole = dataset.build(entries, preset("unfiltered"), ct.rule_tables())
+    nested = whole.nested
     one = nested.filter("entry_id = '1'").collect()[0]
     assert len(one.k) == len(SEQ) and one.temperature == 298.0 and one.ionic_strength == pytest.approx(0.1) and one.ph == 6.5
     rows = dataset.long_rows(nested.filter("entry_id = '1'"))
     assert rows.count() == len(SEQ) and "".join(r.seq for r in rows.orderBy("seq_index").collect()) == SEQ
+    for averaging in (True, False):
+        row = dataset.with_shifts(nested.filter("entry_id = '1'"), whole.tests, averaging).collect()[0]
+        assert len(row.shift_CA) == len(SEQ) and row.shift_CA[0] == pytest.approx(ct.centre()["M"]["CA"]) and row.shift_CB == [None] * len(SEQ)
+        g = SEQ.index("G")
+        assert (row.shift_HA[g] is not None) == averaging and (averaging or row.shift_HA2[g] is not None)
     report = dataset.run(spark, folder, str(tmp_path / "out"), preset("unfiltered"), "json", tables=ct.rule_tables())
     assert report.count() == 10 and spark.read.json(str(tmp_path / "out")).count() >= 2
     with pytest.raises(ValueError):
