@@ -174,7 +174,7 @@ def _cost(value: pd.Series, name: pd.Series) -> pd.Series:
 
 
 def similarity_join(left: DataFrame, right: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """left_id, right_id, similarity of all pairs within one kind with Jaccard at least ``t``.
+    """left_id, right_id, similarity, left_only (tokens) of all pairs within one kind with Jaccard at least ``t``.
 
     ``left`` and ``right`` have kind, id, tokens (distinct, not null).
     """
@@ -192,7 +192,7 @@ def similarity_join(left: DataFrame, right: DataFrame, t: float = SIMILARITY) ->
     met = met.filter(F.expr(f"x.n >= {t} * y.n and y.n >= {t} * x.n")).filter(F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos") >= need)
     pairs = met.groupBy(F.col("x.id").alias("left_id"), F.col("y.id").alias("right_id")).agg(F.first("x.set").alias("a"), F.first("y.set").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    return pairs.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).filter(F.col("similarity") >= t).select("left_id", "right_id", "similarity")
+    return pairs.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).filter(F.col("similarity") >= t).select("left_id", "right_id", "similarity", F.array_except("a", "b").alias("left_only"))
 
 
 def match(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -206,6 +206,10 @@ def match(values: DataFrame, reference: DataFrame) -> DataFrame:
     spelled = reference.select("kind", "term_id", F.explode(F.array_compact(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name")).withColumn("norm", _norm("name")).filter("norm is not null")
     names = spelled.groupBy("kind", "norm").agg(F.min("term_id").alias("term_id")).withColumn("id", F.struct("kind", "norm", "term_id"))
     found = similarity_join(keyed.select("kind", "id", _tokens("norm").alias("tokens")), names.select("kind", "id", _tokens("norm").alias("tokens")))
+    # every letter of the value that the name lacks is an edit: most pairs fall before Python sees them
+    lacking = F.size(F.filter("left_only", lambda x: F.substring(x, 2, 1) != "|"))
+    letters = F.length(F.replace("right_id.norm", F.lit(" "), F.lit("")))
+    found = found.filter(lacking <= F.when(letters < 4, 0).otherwise(F.greatest(F.lit(1), F.floor(letters / 4)))).drop("left_only")
     scored = spread(found).withColumn("edits", _cost("left_id.norm", "right_id.norm")).filter("edits is not null and not isnan(edits)")
     best = scored.groupBy("left_id").agg(F.min(F.struct("edits", (-F.col("similarity")).alias("s"), F.col("right_id.term_id").alias("term_id"))).alias("b"))
     hits = best.select(F.col("left_id.kind").alias("kind"), F.col("left_id.norm").alias("norm"), F.col("b.term_id").alias("term_id"))
