@@ -1,14 +1,20 @@
 """Free-entered values to the entries of a reference list (problem 2).
 
 Prefix-filter set-similarity join. A value or name is brought to words (look of
-the characters, case, word separators, amounts and remarks set aside), its set
-holds its letters and padded letter pairs, so that word order does not matter.
-Tokens are ordered by global rarity; two sets of Jaccard similarity t share one
-of their |x| - ceil(t|x|) + 1 rarest tokens, so only those are joined. Length and
-positional filters follow, Jaccard is verified exactly, and of what is left the
-best is kept whose words agree up to typing errors (edit distance, one word cut
-short). Everything runs on distinct values; the reference list meets them in
-equi-joins whose small side Spark broadcasts only if its measured size allows.
+the characters, case, separators, bracketed remarks and amounts set aside). Words
+that stand beside many different names, exact otherwise, are additions and are
+left out: they are learned from the values, not listed. The tokens of a word are
+the unordered pairs of letters one or two places apart, its ends marked, so that
+two swapped letters cost little. Tokens are ordered by global rarity; two sets
+of Jaccard similarity above t share one of their |x| - floor(t|x|) rarest
+tokens, so only those are joined. Length and positional filters follow, a pair is
+kept at its first common prefix token alone, Jaccard is computed exactly and
+decides: more than half of all tokens must be common, the most similar name
+wins. An exact check then rejects names with other numbers or another stem.
+
+Everything runs on distinct values and, but for reading the words, in the JVM.
+The prefixes of the names are broadcast if their counted bytes allow and meet
+the values in a shuffled equi-join otherwise, with the same result.
 """
 
 from __future__ import annotations
@@ -16,27 +22,30 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coilworks.llm.lookalikes import skeleton
-from coilworks.session import spread
+from coilworks.session import checkpoint, spread
 
-SIMILARITY = 0.4  #: Jaccard similarity a candidate needs
+SIMILARITY = 0.5  #: Jaccard similarity a match must exceed
+ADDED_TO = 3  #: different names beside which a word must stand to be an addition
+BROADCAST_BYTES = 32 << 20  #: counted bytes of name prefixes that may be broadcast
 NO_VALUE = frozenset(("", ".", "-", "n/a", "none"))
 
-# fixed values: short and other forms of words in names
-SHORT_FORMS = {"na": "sodium", "k": "potassium", "term": "terminal", "mut": "mutant", "β": "beta", "α": "alpha"}
-REMARK_WORDS = frozenset(("protein", "with", "contains", "containing"))
+# fixed values: symbols of elements that no letter joins to the name
+SYMBOLS = {"na": "sodium", "k": "potassium", "fe": "iron", "cu": "copper", "ag": "silver", "au": "gold", "hg": "mercury", "pb": "lead", "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
 # fixed values: small letters whose capitals look Latin; read so only beside Latin letters
-SMALL_OF_LOOKALIKES = dict(zip("βεζηικμνρτυχвкмнту", "bezhikmnptyxbkmhty"))
-_MEASURES = frozenset(("m", "mm", "um", "nm", "%"))
+SMALL_OF_LOOKALIKES = dict(zip("αβεζηικμνρτυχвкмнту", "abezhikmnptyxbkmhty"))
 
-_UNITS = r"(?:mm|µm|μm|um|nm|m|mol|mmol|molar|%|percent|mg\s*/\s*ml|g\s*/\s*l|eq)"
-_AMOUNT = re.compile(rf"(?<![\w.,])\d+(?:[.,]\d+)?\s*(?:%\s*[vw]\s*/\s*[vw]|{_UNITS})(?!\w)")
-_BATCH = re.compile(r"\b(?:batch|lot|no\.?)\s*\d+\b")
+_UNIT = r"(?:mm|µm|μm|um|nm|m|mol|mmol|molar|%|percent|mg\s*/\s*ml|g\s*/\s*l|eq)"
+_AMOUNT = re.compile(rf"(?<![\w.,])\d+(?:[.,]\d+)?[\s-]*(?:%\s*[vw]\s*/\s*[vw]|{_UNIT})(?!\w)")
+_JOINED_AMOUNT = re.compile(r"(?<=\w)-(?=\d+[-\s]*(?:mm|m|um)\b)")
+_LOT = re.compile(r"\b(?:batch|lot|no\.?)[\s-]*\d+\b")
+_BRACKETED = re.compile(r"[\s-]\([^()]*\)(?!\w)")
+_WORD, _BETWEEN, _TWICE = re.compile(r"\w+"), re.compile(r"[^\w%]+"), re.compile(r"([a-z])\1+")
 
 
 def _latin(match: re.Match) -> str:
@@ -47,173 +56,125 @@ def _latin(match: re.Match) -> str:
     return "".join(SMALL_OF_LOOKALIKES.get(c, c) for c in word)
 
 
-def _is_remark(word: str) -> bool:
-    return word in REMARK_WORDS or (len(word) >= 5 and osa(word, "protein") <= 1) or (3 <= len(word) <= 4 and osa(word, "with") <= 1)
-
+@lru_cache(maxsize=65536)
+def words_of(text: str) -> tuple[str, ...]:
+    """The words of a text without bracketed remarks, amounts and lot numbers, in one English spelling.
 
-def _plain(text: str) -> str:
-    # lower case may bring out further look-alikes
-    t = skeleton(skeleton(text).lower()).replace("_", " ")
-    t = re.sub(r"\w+", _latin, t)
-    t = re.sub(r"[\"'*?!;\[\]{}]|\.{2,}|…", " ", t)
-    t = re.sub(r"(?<=[\s\d])-(?=\s|\d)|(?<=\s)-|-(?=\s)", " ", f" {t} ")
-    # remarks may be repeated and nested
-    while (shorter := re.sub(r"\s\([^()]*\)(?=[\s.,;]|$)", " ", t)) != t:
+    Letters typed twice are one; ph is f and z is s (sulphate, oxidized). A text
+    of nothing else keeps what it has.
+    """
+    t = skeleton(text).lower()
+    if not t.isascii():
+        t = _WORD.sub(_latin, skeleton(t))  # lower case may bring out further look-alikes
+    whole = t = f" {t.replace('_', ' ')} "
+    while "(" in t and (shorter := _BRACKETED.sub(" ", t)) != t:
         t = shorter
-    return t
+    t = _LOT.sub(" ", t)
+    if re.search(r"\d", t):
+        t = _AMOUNT.sub(" ", _JOINED_AMOUNT.sub(" ", t))
+    words = [w for w in _BETWEEN.split(t) if w] or [w for w in _BETWEEN.split(whole) if w]
+    return tuple(_TWICE.sub(r"\1", SYMBOLS.get(w, w).replace("ph", "f").replace("z", "s")) for w in words) or (whole.strip(),)
 
 
-@lru_cache(maxsize=65536)
-def words_of(text: str) -> tuple[str, ...]:
-    """The words that name something: no amounts, remarks, separators or marks."""
-    t = _plain(text)
-    if not t.strip():
-        t = f" {skeleton(text).lower()} "
-    # separators may stand for blanks, also within an amount (name-50-mm)
-    loose = re.sub(r"(?<=\w)[-](?=\d+[-\s]*(?:mm|m|um)\b)|(?<=\d)-(?=(?:mm|m|um)\b)", " ", t)
-    loose = _BATCH.sub(" ", re.sub(r"\bbatch-(?=\d)", "batch ", loose))
-    loose = _AMOUNT.sub(" ", loose)
-    out = []
-    for w in re.split(r"[\s,;:.\-+()/·]+", loose):
-        w = SHORT_FORMS.get(w, w)
-        if w and not _is_remark(w):
-            w = w.replace("ph", "f").replace("z", "s")  # sulphate, lyophilized
-            out.append(re.sub(r"([a-z])\1+", r"\1", w))  # labelled, and letters typed twice
-    # an amount torn apart when words were put in another order
-    numbers, measures = [w for w in out if re.fullmatch(r"\d+m?", w) and w.isdigit()], [w for w in out if w in _MEASURES]
-    if numbers and measures and len(out) > len(numbers) + len(measures):
-        out.remove(max(numbers, key=int))
-        out.remove(measures[0])
-    return tuple(out) or tuple(re.findall(r"\w+", t)) or (t.strip(),)
-
-
-def token_set(words: tuple[str, ...]) -> list[str]:
-    """Letters (numbered where repeated) and padded pairs of each word."""
-    out: dict[str, None] = {}
-    seen: dict[str, int] = {}
-    for w in words:
-        for c in w:
-            seen[c] = seen.get(c, 0) + 1
-            out[f"{c}{seen[c]}"] = None
-        for a, b in zip(f"^{w}", f"{w}$"):
-            out[f"{a}|{b}"] = None
-    return list(out)
-
-
-def _last_row(a: str, b: str) -> list[int]:
-    """Edit distances, with swaps of neighbours, from ``a`` to every prefix of ``b``."""
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = last[j - 1] if x == y else 1 + min(last[j], row[j - 1], last[j - 1])
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        before, last = last, row
-    return last
-
-
-def osa(a: str, b: str) -> int:
-    return 0 if a == b else _last_row(a, b)[-1]
-
-
-@lru_cache(maxsize=262144)
-def _word_cost(w: str, m: str) -> tuple[int, int]:
-    """(edits, edits if ``w`` is ``m`` cut short)."""
-    if w == m:
-        return 0, 99
-    row = _last_row(w, m)
-    return row[-1], min(row[max(3, (len(m) + 1) // 2) : len(m)], default=99) if len(w) >= 3 else 99
-
-
-def allowed(letters: int) -> int:
-    """Edits that may be typing errors in a name of so many letters."""
-    return 0 if letters < 4 else max(1, letters // 4)
-
-
-def cost(value: tuple[str, ...], name: tuple[str, ...]) -> float | None:
-    """Edits between a value and a name, words in any order; None if they are more than typing errors."""
-    if value == name:
-        return 0.0
-    joined_v, joined_n = "".join(value), "".join(name)
-    limit = allowed(len(joined_n))
-    near = abs(len(joined_v) - len(joined_n)) <= limit and (len(value) != len(name) or len(value) == 1)
-    best = osa(joined_v, joined_n) if (len(joined_v) >= 4 and near) or joined_v == joined_n else 99
-    if len(value) == len(name):
-        free, total, cut, worst_ok = list(name), 0.0, False, True
-        for w in sorted(value, key=lambda w: min(_word_cost(w, m)[0] / max(len(m), 1) for m in name)):
-            options = [(_word_cost(w, m)[0], False, m) for m in free] + ([] if cut else [(_word_cost(w, m)[1] + 0.5, True, m) for m in free])
-            c, was_cut, m = min(options, key=lambda o: (o[0], o[1], o[2]))
-            cut |= was_cut
-            worst_ok &= c <= (max(1, len(m) * 0.34) if len(m) > 2 else 0) + 0.5 * was_cut
-            total += c
-            free.remove(m)
-        if worst_ok:
-            best = min(best, total)
-        elif best > 1:
-            best = 99
-    elif best > max(1, limit // 2):
-        best = 99
-    return best if best <= limit + 0.5 and (best == 0 or limit > 0) else None
-
-
-@F.pandas_udf(T.StringType())
-def _norm(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None or skeleton(t).strip().lower() in NO_VALUE else " ".join(words_of(t)))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(norm: pd.Series) -> pd.Series:
-    return norm.map(lambda t: None if t is None else token_set(tuple(t.split(" "))))
-
-
-@F.pandas_udf(T.DoubleType())
-def _cost(value: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([cost(tuple(v.split(" ")), tuple(n.split(" "))) for v, n in zip(value, name)], dtype="float64")
+@F.arrow_udf(T.StringType())
+def _norm(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None or skeleton(t).strip().lower() in NO_VALUE else " ".join(words_of(t)) for t in text.to_pylist()], pa.string())
+
+
+def tokens(words: str) -> F.Column:
+    """Distinct tokens of an array of words: unordered letter pairs one or two places apart, numbered where repeated.
+
+    A token is one bigint: 21 bits for each letter's code point and for the number.
+    """
+    pair = "shiftleft(cast(least(c[i], c[i + {d}]) as bigint), 42) + shiftleft(cast(greatest(c[i], c[i + {d}]) as bigint), 21)"
+    near = [f"transform(sequence(0, size(c) - {d + 1}), i -> {pair.format(d=d)})" for d in (1, 2)]
+    letters = f"transform({words}, w -> transform(sequence(1, length(w) + 2), i -> ascii(substr(concat('^', w, '$'), i, 1))))"
+    each = f"flatten(transform({letters}, c -> concat({near[0]}, {near[1]})))"
+    # in sorted order a token's place less that of its first equal is its number
+    return F.expr(f"transform(array(sort_array({each})), a -> transform(a, (x, i) -> x + i + 1 - array_position(a, x)))[0]")
+
+
+def _bags(words: DataFrame) -> DataFrame:
+    """``words`` (kind, bag) once for each bag, with id and tokens."""
+    return words.select("kind", "bag").distinct().select("kind", "bag", tokens("bag").alias("tokens"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """left_id, right_id, similarity, left_only (tokens) of all pairs within one kind with Jaccard at least ``t``.
+    """kind, left_bag, right_bag, similarity of all pairs within one kind with Jaccard above ``t``.
 
-    ``left`` and ``right`` have kind, id, tokens (distinct, not null).
+    ``left`` and ``right`` have kind, bag (unique within the kind) and tokens
+    (distinct, not null, not empty).
     """
     both = left.select("kind", F.explode("tokens").alias("token")).union(right.select("kind", F.explode("tokens").alias("token")))
     rarity = both.groupBy("kind", "token").agg(F.count("*").alias("df"))
 
     def prefixes(side: DataFrame) -> DataFrame:
-        ranked = side.select("kind", "id", F.explode("tokens").alias("token")).join(rarity, ["kind", "token"]).groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-        keep = F.expr(f"size(o) - cast(ceil({t} * size(o)) as int) + 1")
-        return ranked.select("kind", "id", F.size("o").alias("n"), F.col("o.token").alias("set"), keep.alias("keep")).select("kind", "id", "n", "set", F.posexplode(F.slice("set", F.lit(1), F.col("keep"))).alias("pos", "token"))
-
-    x, y = prefixes(left).alias("x"), prefixes(right).alias("y")
+        ranked = side.select("kind", "bag", F.explode("tokens").alias("token")).join(rarity, ["kind", "token"])
+        ranked = ranked.groupBy("kind", "bag").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o")).select("kind", "bag", F.col("o.token").alias("set"))
+        # few bytes, many comparisons
+        return spread(ranked).select("*", F.posexplode(F.expr(f"slice(set, 1, size(set) - cast(floor({t} * size(set) + 1e-9) as int))")).alias("pos", "token"))
+
+    x = prefixes(left).alias("x")
+    y = checkpoint(prefixes(right))
+    small = (y.agg(F.sum(8 * F.size("set") + 64 + F.length(F.concat_ws(" ", "bag")))).first()[0] or 0) <= BROADCAST_BYTES
+    y = (F.broadcast(y) if small else y).alias("y")
     met = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.token") == F.col("y.token")))
-    need = F.expr(f"cast(ceil({t} / (1 + {t}) * (x.n + y.n) - 1e-9) as int)")
-    met = met.filter(F.expr(f"x.n >= {t} * y.n and y.n >= {t} * x.n")).filter(F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos") >= need)
-    pairs = met.groupBy(F.col("x.id").alias("left_id"), F.col("y.id").alias("right_id")).agg(F.first("x.set").alias("a"), F.first("y.set").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return pairs.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).filter(F.col("similarity") >= t).select("left_id", "right_id", "similarity", F.array_except("a", "b").alias("left_only"))
+    nx, ny = F.size("x.set"), F.size("y.set")
+    need = F.floor(t / (1 + t) * (nx + ny) + 1e-9) + 1
+    near = (ny > t * nx) & (nx > t * ny) & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= need)
+    met = met.filter(near).select(F.col("x.kind").alias("kind"), F.col("x.bag").alias("left_bag"), F.col("y.bag").alias("right_bag"), (nx + ny).alias("both"), F.col("x.token").alias("token"), F.array_intersect("x.set", "y.set").alias("common"))
+    # a pair counts at its first common token, where the positional bound holds
+    pairs = met.filter("common[0] = token").withColumn("similarity", F.size("common") / (F.col("both") - F.size("common"))).drop("both", "token", "common")
+    return pairs.filter(F.col("similarity") > t)
+
+
+def additions(distinct: DataFrame, names: DataFrame) -> DataFrame:
+    """kind, word: words of no name that stand in values beside at least ADDED_TO different names, exact otherwise.
+
+    ``distinct`` has kind, known and extra (words in and not in the names of the
+    kind, sorted), ``names`` kind, term_id and bag.
+    """
+    beside = distinct.filter("size(extra) > 0").join(names.select("kind", "term_id", F.col("bag").alias("known")), ["kind", "known"])
+    return beside.select("kind", "term_id", F.explode("extra").alias("word")).distinct().groupBy("kind", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= ADDED_TO).select("kind", "word")
+
+
+_OTHER_STEM = "exists(left_bag, w -> exists(right_bag, m -> length(m) >= 4 and endswith(w, m) and length(w) >= length(m) + 3))"
+_NUMBERS = r"filter({}, w -> w rlike '^[0-9]+$')"
+
+
+def same_substance() -> F.Column:
+    """The exact check behind the join.
+
+    A word that ends in a word of the name after three or more other letters is
+    another stem (polyethylene, thiourea); a value with numbers must have those
+    of the name, if it has any (polysorbate 80).
+    """
+    mine, its = F.expr(_NUMBERS.format("left_bag")), F.expr(_NUMBERS.format("right_bag"))
+    return ~F.expr(_OTHER_STEM) & ((F.size(mine) == 0) | (F.size(F.array_except(its, mine)) == 0))
 
 
 def match(values: DataFrame, reference: DataFrame) -> DataFrame:
     """kind, norm, term_id for every distinct (kind, norm) of ``values``; term_id 0 where nothing is meant.
 
-    Ties go to the fewest edits, then the greatest similarity, then the smallest
-    term_id. Names of fewer than four letters must agree exactly.
+    The most similar name wins; ties go to the fewest edits, then the smallest
+    term_id. A name of two terms is the smaller one's.
     """
-    distinct = values.filter("norm is not null").select("kind", "norm").distinct()
-    keyed = distinct.withColumn("id", F.struct("kind", "norm"))
-    spelled = reference.select("kind", "term_id", F.explode(F.array_compact(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name")).withColumn("norm", _norm("name")).filter("norm is not null")
-    names = spelled.groupBy("kind", "norm").agg(F.min("term_id").alias("term_id")).withColumn("id", F.struct("kind", "norm", "term_id"))
-    found = similarity_join(keyed.select("kind", "id", _tokens("norm").alias("tokens")), names.select("kind", "id", _tokens("norm").alias("tokens")))
-    # every letter of the value that the name lacks is an edit: most pairs fall before Python sees them
-    lacking = F.size(F.filter("left_only", lambda x: F.substring(x, 2, 1) != "|"))
-    letters = F.length(F.replace("right_id.norm", F.lit(" "), F.lit("")))
-    found = found.filter(lacking <= F.when(letters < 4, 0).otherwise(F.greatest(F.lit(1), F.floor(letters / 4)))).drop("left_only")
-    scored = spread(found).withColumn("edits", _cost("left_id.norm", "right_id.norm")).filter("edits is not null and not isnan(edits)")
-    best = scored.groupBy("left_id").agg(F.min(F.struct("edits", (-F.col("similarity")).alias("s"), F.col("right_id.term_id").alias("term_id"))).alias("b"))
-    hits = best.select(F.col("left_id.kind").alias("kind"), F.col("left_id.norm").alias("norm"), F.col("b.term_id").alias("term_id"))
-    return distinct.join(hits, ["kind", "norm"], "left").select("kind", "norm", F.coalesce("term_id", F.lit(0).cast("bigint")).alias("term_id"))
+    spelled = reference.select("kind", "term_id", F.explode(F.array_compact(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
+    spelled = spelled.withColumn("norm", _norm("name")).filter("norm is not null")
+    names = checkpoint(spelled.select("kind", "term_id", F.array_sort(F.split("norm", " ")).alias("bag")).groupBy("kind", "bag").agg(F.min("term_id").alias("term_id")))
+    vocabulary = names.select("kind", F.explode("bag").alias("word")).distinct().withColumn("in_name", F.lit(True))
+    words = values.filter("norm is not null").select("kind", "norm").distinct().select("kind", "norm", F.explode(F.split("norm", " ")).alias("word"))
+    split = words.join(vocabulary, ["kind", "word"], "left").groupBy("kind", "norm").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("word")))).alias(n) for n, c in (("known", F.col("in_name")), ("extra", F.col("in_name").isNull()))])
+    distinct = checkpoint(split)
+    added = additions(distinct, names)
+    more = distinct.select("kind", "norm", F.explode("extra").alias("word")).join(added, ["kind", "word"], "left_anti").groupBy("kind", "norm").agg(F.collect_list("word").alias("more"))
+    left = F.array_sort(F.concat("known", F.coalesce("more", F.array().cast("array<string>"))))
+    bags = checkpoint(distinct.join(more, ["kind", "norm"], "left").select("kind", "norm", F.when(F.size(left) > 0, left).otherwise(F.col("extra")).alias("bag")))
+    found = similarity_join(checkpoint(_bags(bags)), checkpoint(_bags(names))).filter(same_substance())
+    scored = found.join(names.toDF("kind", "right_bag", "term_id"), ["kind", "right_bag"])
+    edits = F.levenshtein(F.concat_ws(" ", "left_bag"), F.concat_ws(" ", "right_bag"))
+    best = scored.groupBy("kind", F.col("left_bag").alias("bag")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), edits.alias("e"), "term_id")).alias("b"))
+    return bags.join(best, ["kind", "bag"], "left").select("kind", "norm", F.coalesce("b.term_id", F.lit(0).cast("bigint")).alias("term_id"))
 
 
 def typed_values(presets: DataFrame, entities: DataFrame) -> DataFrame:
@@ -229,11 +190,12 @@ def typed_values(presets: DataFrame, entities: DataFrame) -> DataFrame:
 def canonical_terms(presets: DataFrame, entities: DataFrame, reference: DataFrame) -> DataFrame:
     """field_name, row_id, item_no, value, term_id for each value that is not null, blank or a mark for no value.
 
-    Null or empty arrays give no rows and null items keep their place. The join
-    back is on the distinct value, one row each, so a value typed by a third of
-    all rows is one row on the other side.
+    Null or empty arrays give no rows and null items keep their place; empty
+    tables give no rows, an empty reference term_id 0 throughout. Words are read
+    once and written. The join back is on the distinct value, one row each, so a
+    value typed by a third of all rows is one row on the other side.
     """
-    typed = typed_values(presets, entities).withColumn("norm", _norm("value")).filter("norm is not null")
+    typed = checkpoint(typed_values(presets, entities).withColumn("norm", _norm("value")).filter("norm is not null"))
     return typed.join(match(typed, reference), ["kind", "norm"]).select("field_name", "row_id", "item_no", "value", "term_id")
 
 
