@@ -181,7 +181,7 @@ def pairs_of_letters(words):
         p = f"^{w}$"
         for a, b in [(p[i], p[i + d]) for d in (1, 2) for i in range(len(p) - d)]:
             x = (min(a, b), max(a, b))
-            seen[x] = seen.get(x, 0) + 1
+            seen[x] = seen.get(x, -1) + 1
             out.add((ord(x[0]) << 42) + (ord(x[1]) << 21) + seen[x])
     return out
 
