@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -87,3 +88,61 @@ def test_titration_matches_enumeration():
     got = titrate(seq, 298.0, 0.1)
     assert np.allclose([g[2] for g in got], pka, atol=1e-6) and np.allclose([g[3] for g in got], n, atol=1e-6)
     assert math.isfinite(sum(pka))
+
+
+def screened(d, ionic):
+    """The published energy of two charges at distance d, without the factor of units."""
+    x = math.sqrt(ionic) * d / (3.08 * math.sqrt(6))
+    grown = math.exp(x * x - math.log(79 * d)) if x * x - math.log(79 * d) < 709 else 1.7976931348623157e308
+    return 332.286 * math.sqrt(6 / math.pi) * (1 / (79 * d) - grown * math.sqrt(math.pi) * x * math.erfc(x))
+
+
+def test_screened_energy_at_high_ionic_strength():
+    from coilworks.operators.pka import coupling
+
+    gaps = np.arange(1, 140)
+    for ionic in (1e-4, 0.1, 3.0, 7.0):
+        want = [screened(5 + 7.5 * math.sqrt(g), ionic) * 4181.2 / (8.314472 * 298 * math.log(10)) / 2 for g in gaps]
+        assert np.allclose(coupling(gaps, 298.0, ionic), want, rtol=1e-6, atol=1e-6)
+    assert coupling(np.array([90]), 298.0, 7.0)[0] < 1e-4 < 0.01 < coupling(np.array([95]), 298.0, 7.0)[0]
+    smooth = coupling(gaps, 298.0, 7.0, exact=True)
+    assert (np.diff(smooth) < 0).all()
+
+
+def test_titration_of_many_sites_matches_plain_loops():
+    """Windows of five sites, the first cycle from the start values, the later ones in place; curves are compared at the fit."""
+    pk0 = {"n": 8.23, "D": 3.86, "E": 4.34, "H": 6.45, "C": 8.49, "K": 10.34, "R": 13.9, "Y": 9.76, "c": 3.55}
+    seq, temperature, ionic = "DAKEHGGCYRDDAKEKLH", 293.0, 0.05
+    chain = f"n{seq}c"
+    at = [i for i, c in enumerate(chain) if c in pk0]
+    n = len(at)
+    assert n >= 12
+    base = [-1.0 if chain[i] in "DEYc" else 0.0 for i in at]
+    w = [[0.0 if i == j else screened(5 + 7.5 * math.sqrt(abs(at[i] - at[j])), ionic) * 4181.2 / (8.314472 * temperature * math.log(10)) / 2 for j in range(n)] for i in range(n)]
+    grid = [1.99 + 0.15 * k for k in range(54)]
+    held = [[1 / (10 ** (0.9 * (ph - pk0[chain[i]])) + 1) for i in at] for ph in grid]
+    for cycle in range(5):
+        source = [row[:] for row in held] if cycle == 0 else held
+        for s in range(n):
+            lo = min(max(s - 2, 0), n - 5)
+            win = range(lo, lo + 5)
+            for k, ph in enumerate(grid):
+                q = [(0.0 if j in win else source[k][j]) + base[j] for j in range(n)]
+                diag = {i: 2 * sum(w[i][j] * q[j] for j in range(n)) + ph - pk0[chain[at[i]]] for i in win}
+                part = total = 0.0
+                for state in itertools.product((0, 1), repeat=5):
+                    c = dict(zip(win, state))
+                    e = 10 ** -(sum(diag[i] * c[i] for i in win) + sum(w[i][j] * c[i] * c[j] for i in win for j in win))
+                    total += e
+                    part += e * c[s]
+                held[k][s] = part / total
+    pka, slope = fit(np.array(held).T, np.array([pk0[chain[i]] for i in at]))
+    got = titrate(seq, temperature, ionic)
+    assert [g[0] for g in got] == at and "".join(g[1] for g in got) == "".join(chain[i] for i in at)
+    assert np.allclose([g[2] for g in got], pka, atol=1e-6) and np.allclose([g[3] for g in got], slope, atol=1e-6)
+    # the fit itself, by a plain search around its result
+    for k in range(n):
+        curve = np.array(held)[:, k]
+        loss = lambda a, b: float(((1 / (np.power(10.0, b * (np.array(grid) - a)) + 1) - curve) ** 2).sum())
+        best = loss(pka[k], slope[k])
+        assert all(loss(pka[k] + da, slope[k] + db) >= best - 1e-12 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
