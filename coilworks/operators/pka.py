@@ -33,19 +33,18 @@ def _states(n: int) -> np.ndarray:
 def coupling(separation: np.ndarray, temperature: float, ionic: float, exact: bool = False) -> np.ndarray:
     """Half the pair energy in pH units of two sites so many residues apart.
 
-    exp(x^2) erfc(x) is taken as published: erfc underflows to 0 beyond x = 26.5
-    and the energy is that of no screening, a jump; ``exact`` uses the asymptote
-    there instead.
+    As published, erfc underflows to 0 beyond x = 26.5 and the energy jumps to
+    that of no screening; ``exact`` has no jump. Just before, where exp(x^2)
+    overflows or erfc has lost its digits, the product's asymptote is taken.
     """
     d = A + B * np.sqrt(separation)
     x = np.sqrt(ionic) * d / (3.08 * math.sqrt(6.0))
 
     def scaled(v: float) -> float:
-        if exact and v > 25:
-            return 1 / (v * math.sqrt(math.pi)) * (1 - 1 / (2 * v * v))
         small = math.erfc(v)
-        # the product is about 1 / v although exp(v^2) alone may overflow
-        return math.exp(v * v + math.log(small)) if small else 0.0
+        if v > 25 and (exact or small):
+            return (1 - 1 / (2 * v**2) + 3 / (4 * v**4) - 15 / (8 * v**6)) / (v * math.sqrt(math.pi))
+        return math.exp(v * v) * small if small else 0.0
 
     screened = np.array([scaled(v) for v in x])
     energy = 332.286 * math.sqrt(6 / math.pi) * (1 - math.sqrt(math.pi) * x * screened) / (PERMITTIVITY * d)
