@@ -126,22 +126,35 @@ def titrate(seq: str, temperature: float, ionic: float, exact: bool = False) ->
     return [(p, c, float(a), float(b)) for p, c, a, b in zip(at, names, pka, n)]
 
 
-_OUT = "seq string, temperature double, ionic double, pos int, aa string, pka double, n_h double"
+_OUT = "seq string, temperature double, ionic double"
 
 
-def titrations(conditions: DataFrame, exact: bool = False) -> DataFrame:
-    """seq, temperature, ionic, pos, aa, pka, n_h for each distinct row of seq, temperature, ionic without nulls."""
+def _each_chain(conditions: DataFrame, result: str, of_chain) -> DataFrame:
+    """``of_chain`` (rows of a chain) for each distinct row of seq, temperature, ionic without nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, t, i, *site) for s, t, i in zip(pdf.seq, pdf.temperature, pdf.ionic) for site in titrate(s, t, i, exact)]
-            yield pd.DataFrame(rows, columns=["seq", "temperature", "ionic", "pos", "aa", "pka", "n_h"])
+            rows = [(s, t, i, *row) for s, t, i in zip(pdf.seq, pdf.temperature, pdf.ionic) for row in of_chain(s, t, i)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in f"{_OUT}, {result}".split(", ")])
 
     distinct = conditions.select("seq", "temperature", "ionic").filter("seq <> '' and temperature > 0 and ionic >= 0").distinct()
-    return spread(distinct).mapInPandas(run, _OUT)
+    return spread(distinct).mapInPandas(run, f"{_OUT}, {result}")
+
+
+def titrations(conditions: DataFrame, exact: bool = False) -> DataFrame:
+    """seq, temperature, ionic, pos, aa, pka, n_h of every site, ends included."""
+    return _each_chain(conditions, "pos int, aa string, pka double, n_h double", lambda s, t, i: titrate(s, t, i, exact))
+
+
+def titrated_chains(conditions: DataFrame, exact: bool = False) -> DataFrame:
+    """seq, temperature, ionic and arrays as long as ``seq``: pka, n_h and pk0 of its residues, null where no site is."""
 
+    def of_chain(seq: str, temperature: float, ionic: float):
+        arrays = [[None] * len(seq) for _ in range(3)]
+        for pos, aa, pka, n_h in titrate(seq, temperature, ionic, exact):
+            if 1 <= pos <= len(seq):
+                for array, value in zip(arrays, (pka, n_h, PK0[aa])):
+                    array[pos - 1] = value
+        return [arrays]
 
-def site_pkas(seqs: DataFrame, *keep: str) -> DataFrame:
-    """keep, pos, aa, pka, n_h of the residues (ends left out) of every row of ``seqs``."""
-    sites = titrations(seqs).filter("aa not in ('n', 'c')")
-    return seqs.select(*keep, "seq", "temperature", "ionic").join(sites, ["seq", "temperature", "ionic"]).select(*keep, "pos", "aa", "pka", "n_h")
+    return _each_chain(conditions, "pka array<double>, n_h array<double>, pk0 array<double>", of_chain)

@@ -158,8 +158,7 @@ def hill_fraction(spark, d):
 
 
 def ph_shift_fixed_pka(spark, d):
-    terms = coil.ph_terms(coil.fixed_sites(_sequences(spark, d), "ent_row", "ph"), ("ent_row",))
-    return terms.select("ent_row", "pos", "atom", F.round("term", 6).alias("term"))
+    return coil.fixed_ph_terms(_sequences(spark, d), "ent_row").select("ent_row", "pos", "atom", F.round("term", 6).alias("term"))
 
 
 def predicted_shifts_fixed_pka(spark, d):
