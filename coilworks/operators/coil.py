@@ -92,37 +92,42 @@ def with_coefficients(rows: DataFrame, tables: ct.CoilTables) -> DataFrame:
     return rows.withColumns(new).withColumns(pairs)
 
 
-def _of_places(prefix: str, atom: str) -> Column:
-    i = ct.ATOMS.index(atom)
+def _of_places(prefix: str, i: Column) -> Column:
     total = F.lit(0.0)
     for _, c in PLACES:
-        total = total + F.coalesce(F.get(f"_{prefix}{c}", F.lit(i)), F.lit(0.0))
+        total = total + F.coalesce(F.get(f"_{prefix}{c}", i), F.lit(0.0))
     return total
 
 
-def neighbour_correction(atom: str) -> Column:
-    """Sum over the four neighbours; unknown residues count nothing, an end only where it belongs."""
-    return _of_places("n", atom)
+def neighbour_correction(i: Column) -> Column:
+    """Sum over the four neighbours for the atom at place ``i``; unknown residues count nothing, an end only where it belongs."""
+    return _of_places("n", i)
 
 
-def pair_correction(atom: str) -> Column:
+def pair_correction(i: Column) -> Column:
     """Sum over matching (place, centre class, neighbour class)."""
-    return _of_places("k", atom)
+    return _of_places("k", i)
 
 
-def temperature_correction(atom: str) -> Column:
+def temperature_correction(i: Column) -> Column:
     """HB has none."""
-    return F.coalesce(F.get("_warm", F.lit(ct.ATOMS.index(atom))) * (F.col("temperature") - 298), F.lit(0.0) if atom == "HB" else F.when(F.col("temperature").isNotNull(), 0.0))
+    return F.coalesce(F.get("_warm", i) * (F.col("temperature") - 298), F.when((i == ct.ATOMS.index("HB")) | F.col("temperature").isNotNull(), 0.0))
 
 
-def _at_ph7(atom: str) -> Column:
-    return F.get("_centre", F.lit(ct.ATOMS.index(atom))) + neighbour_correction(atom) + pair_correction(atom) + temperature_correction(atom)
+def _at_ph7(i: Column) -> Column:
+    return F.get("_centre", i) + neighbour_correction(i) + pair_correction(i) + temperature_correction(i)
 
 
 def _long(rows: DataFrame, keep: tuple[str, ...], name: str, of_atom) -> DataFrame:
-    """keep, pos, aa, atom, ``name`` for the atoms that have a value."""
-    atoms = [F.struct(F.lit(a).alias("atom"), of_atom(a).alias(name)) for a in ct.ATOMS]
-    return rows.select(*keep, "pos", "aa", F.inline(F.array(*atoms))).filter(F.col(name).isNotNull())
+    """keep, pos, aa, atom, ``name`` for the atoms that have a value.
+
+    One lambda over the atoms: seven copies of the sum make a method too large
+    for the JVM to compile. The outer generator keeps the optimizer from testing
+    the array a second time.
+    """
+    values = F.transform(F.sequence(F.lit(0), F.lit(len(ct.ATOMS) - 1)), of_atom)
+    atoms = F.array(*[F.lit(a) for a in ct.ATOMS])
+    return rows.select(*keep, "pos", "aa", values.alias("_v")).select(*keep, "pos", "aa", F.posexplode_outer("_v").alias("_i", name)).filter(F.col(name).isNotNull()).select(*keep, "pos", "aa", F.get(atoms, F.col("_i")).alias("atom"), name)
 
 
 def shifts_at_ph7(rows: DataFrame, keep: tuple[str, ...], tables: ct.CoilTables) -> DataFrame:
@@ -149,12 +154,11 @@ def with_ph_coefficients(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_own": look(0, "aa"), "_next": look(1, "p1"), "_last": look(2, "m1")})
 
 
-def ph_term(atom: str) -> Column:
-    """What protonation of a residue and the two beside it adds to its shift; null if none of them does.
+def ph_term(i: Column) -> Column:
+    """What protonation of a residue and the two beside it adds to the shift of its atom ``i``; null if none of them does.
 
     Reads f0, fp and fm, the fractions of the residue, the next and the one before.
     """
-    i = F.lit(ct.ATOMS.index(atom))
     parts = [F.get(c, i) * F.col(f) for c, f in (("_own", "f0"), ("_next", "fp"), ("_last", "fm"))]
     return F.when(F.coalesce(*parts).isNotNull(), sum([F.coalesce(p, F.lit(0.0)) for p in parts[1:]], F.coalesce(parts[0], F.lit(0.0))))
 
@@ -201,8 +205,8 @@ def predict(seqs: DataFrame, key: str, tables: ct.CoilTables | None = None, fixe
     rows = rows.filter(F.col("aa").isin(*ct.AMINO_ACIDS)).withColumns(places).drop("_f")
     rows = with_ph_coefficients(with_coefficients(rows, tables))
 
-    def shift(atom: str) -> Column:
-        term = ph_term(atom)
-        return _at_ph7(atom) - F.coalesce(F.when((F.col("ph") != 7.0) & (F.abs(term) < PH_LIMIT), term), F.lit(0.0))
+    def shift(i: Column) -> Column:
+        term = ph_term(i)
+        return _at_ph7(i) - F.coalesce(F.when((F.col("ph") != 7.0) & (F.abs(term) < PH_LIMIT), term), F.lit(0.0))
 
     return _long(rows, (key,), "shift", shift)

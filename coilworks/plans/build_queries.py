@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coilworks.functions import coil_tables as ct
-from coilworks.functions.chi import hill
+from coilworks.functions.chi import hill, rounded
 from coilworks.operators import coil, conditions, filters, peptides, pka, shifts
 from coilworks.params import PRESETS
-from coilworks.session import table
+from coilworks.session import fan_out, table
 from coilworks.sources import star
 
 RULES = ct.rule_tables()
@@ -119,7 +119,7 @@ def postfilter_flags(spark, d):
 
 def _sequences(spark, d):
     """Whole sequences with conditions by rule; pH is 7 for one row in nine."""
-    return _peptides(spark, d).select("ent_row", "seq", (F.lit(283.0) + F.col("ent_row") % 30).alias("temperature"), (F.lit(5.0) + (F.col("ent_row") % 9) * 0.5).alias("ph"), (F.lit(0.05) + (F.col("ent_row") % 4) * 0.05).alias("ionic"))
+    return fan_out(_peptides(spark, d)).select("ent_row", "seq", (F.lit(283.0) + F.col("ent_row") % 30).alias("temperature"), (F.lit(5.0) + (F.col("ent_row") % 9) * 0.5).alias("ph"), (F.lit(0.05) + (F.col("ent_row") % 4) * 0.05).alias("ionic"))
 
 
 def pentamer_context(spark, d):
@@ -132,7 +132,7 @@ def residue_classes(spark, d):
 
 def _per_atom(spark, d, make):
     rows = coil.with_coefficients(coil.residues(_sequences(spark, d), "ent_row", "temperature"), RULES)
-    return rows.select("ent_row", "pos", *[F.round(make(a), 7).alias(f"v_{a.lower()}") for a in ct.ATOMS])
+    return rows.select("ent_row", "pos", *[F.round(make(F.lit(i)), 7).alias(f"v_{a.lower()}") for i, a in enumerate(ct.ATOMS)])
 
 
 def neighbour_correction(spark, d):
@@ -149,7 +149,7 @@ def temperature_correction(spark, d):
 
 def predicted_shifts_ph7(spark, d):
     rows = coil.residues(_sequences(spark, d), "ent_row", "temperature")
-    return coil.shifts_at_ph7(rows, ("ent_row",), RULES).select("ent_row", "pos", "aa", "atom", F.round("shift", 7).alias("shift"))
+    return coil.shifts_at_ph7(rows, ("ent_row",), RULES).select("ent_row", "pos", "aa", "atom", rounded(F.col("shift"), 7).alias("shift"))
 
 
 def hill_fraction(spark, d):
@@ -162,7 +162,7 @@ def ph_shift_fixed_pka(spark, d):
 
 
 def predicted_shifts_fixed_pka(spark, d):
-    return coil.predict(_sequences(spark, d), "ent_row", RULES, fixed_pka=True).select("ent_row", "pos", "aa", "atom", F.round("shift", 7).alias("shift"))
+    return coil.predict(_sequences(spark, d), "ent_row", RULES, fixed_pka=True).select("ent_row", "pos", "aa", "atom", rounded(F.col("shift"), 7).alias("shift"))
 
 
 def pka_titration(spark, d):

@@ -46,3 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def fan_out(scanned: DataFrame) -> DataFrame:
+    """A scan whose rows multiply: over all cores if its files make fewer partitions than there are cores, else as it is.
+
+    Only for plans without a shuffle, whose number of partitions is known before they run.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if scanned._jdf.queryExecution().toRdd().getNumPartitions() < cores else scanned
