@@ -8,29 +8,47 @@ if a segment stands in the training string at a position that the edits before
 and after it allow (multi-match-aware windows). Candidates are verified by
 Spark's ``levenshtein`` with a threshold, a banded dynamic program in the JVM.
 
+The join key holds the segment, the band of the training string's length and a
+bucket of the position in it; a segment is sent to the few bands and buckets it
+may match. So a segment that stands in very many strings is split by where it
+stands and in strings of what length, and what is left is split by adaptive
+skew joins. Substrings that no evaluation string has are dropped before the
+shuffle by a bitmap of all keys: 2^WORD_BITS words of 64 bits, a fixed size
+whatever the data, joined as a broadcast table; when it fills up it only drops
+less.
+
 Equal strings are joined once and expanded to rows at the end, so copies, even a
-third of all rows, cost one string. All joins are equi-joins on a segment hash
-or an id (a hash collision only adds a candidate that verification rejects); no
-side is broadcast, nothing is collected.
+third of all rows, cost one string. All joins are equi-joins on a hashed key or
+an id (a hash collision only adds a candidate that verification rejects);
+nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coilworks.llm import residues
 
 PERCENT = 15  #: edit distance allowed, in per cent of the longer length
+WORD_BITS = 18  #: the bitmap of keys has 2^WORD_BITS words (2 MB)
 
 # lengths: train <= 100 L / (100-p); k = p * longest / 100; k+1 segments; q letters of each are compared
 _K = "cast(floor({p} * floor(100 * len / (100 - {p})) / 100) as int)"
 _Q = "cast(floor(len / (k + 1)) as int)"
 
 
-def _segment_size(length: int, percent: int) -> int:
-    k = percent * (100 * length // (100 - percent)) // 100
-    return length // (k + 1)
+def _band(length: str, percent: int) -> str:
+    """Band of a length; the lengths admissible for one string lie in three bands at most."""
+    return f"cast(floor(ln({length}) / {-math.log(1 - percent / 100)!r}D) as int)"
+
+
+def _bucket(position: str, band: str, percent: int) -> str:
+    """Bucket of a position: an edit distance of the band wide, so that a window reaches a few."""
+    width = f"greatest(1D, floor({percent} * exp(({band} + 1) * {-math.log(1 - percent / 100)!r}D) / 100))"
+    return f"cast(floor({position} / {width}) as int)"
 
 
 def distinct_strings(rows: DataFrame) -> DataFrame:
@@ -41,39 +59,56 @@ def distinct_strings(rows: DataFrame) -> DataFrame:
 
 
 def segments(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Segments of evaluation strings: sid_e, len_e, k, q, i (place), p (start), g (hash of its first q letters).
+    """Segments of evaluation strings: sid_e, len_e, k, i (place), p (start), key.
 
     Segment i starts at floor(i * L / (k+1)), so each has q or q+1 letters; the
-    first q are compared, so that all segments of a string have one length.
+    first q are compared, so that all segments of a string have one length. One
+    row for each band of admissible lengths and bucket of admissible positions.
     """
+    shortest, most = f"cast(ceil(len * {100 - percent} / 100) as int)", f"cast(floor(100 * len / {100 - percent}) as int)"
     cut = strings.filter("in_eval").select("sid", "res", "len").withColumn("k", F.expr(_K.format(p=percent))).withColumn("q", F.expr(_Q)).filter("q > 0")
-    cut = cut.select("*", F.explode(F.expr("sequence(0, k)")).alias("i")).withColumn("p", F.expr("cast(floor(cast(i as bigint) * len / (k + 1)) as int)"))
-    return cut.select(F.col("sid").alias("sid_e"), F.col("len").alias("len_e"), "k", "q", "i", "p", F.hash("q", F.expr("substring(res, p + 1, q)")).alias("g"))
+    cut = cut.selectExpr("*", f"greatest(1, {shortest}) as least", f"greatest(len, {most}) as most", "explode(sequence(0, k)) as i")
+    cut = cut.selectExpr("*", "cast(floor(cast(i as bigint) * len / (k + 1)) as int) as p", f"explode(sequence({_band('least', percent)}, {_band('most', percent)})) as band")
+    # shifts that some admissible length allows
+    low, high = "greatest(0, p + greatest(-i, least - len - (k - i)))", "greatest(0, p + least(i, most - len + (k - i)))"
+    cut = cut.selectExpr("*", f"explode(sequence({_bucket(low, 'band', percent)}, {_bucket(high, 'band', percent)})) as bucket")
+    return cut.selectExpr("sid as sid_e", "len as len_e", "k", "i", "p", "xxhash64(q, band, bucket, substring(res, p + 1, q)) as key")
 
 
-def substrings(strings: DataFrame, percent: int = PERCENT, longest: int = 200) -> DataFrame:
-    """Substrings of training strings in every size an admissible evaluation string is cut to.
+def substrings(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Substrings of training strings: sid_t, len_t, p_t (start), key.
 
-    The size depends on the length alone; for strings beyond ``longest`` it is
-    computed from the length in SQL just the same, the sizes that occur being
-    taken from the ends of the admissible range and all between them.
+    In every size an admissible evaluation string is cut to: few lengths are
+    admissible (0.85 to 1.18 of the length), and the distinct sizes among them
+    are fewer still.
     """
     sized = strings.filter("in_train").select("sid", "res", "len")
     shortest, most = f"cast(ceil(len * {100 - percent} / 100) as int)", f"cast(floor(100 * len / {100 - percent}) as int)"
-    q = lambda n: f"cast(floor({n} / (floor({percent} * floor(100 * {n} / {100 - percent}) / 100) + 1)) as int)"
-    # few lengths are admissible (0.85 to 1.18 of the length): the distinct sizes among them
-    sized = sized.withColumn("qs", F.expr(f"array_distinct(transform(sequence({shortest}, greatest({shortest}, {most})), n -> {q('n')}))"))
-    sized = sized.select("sid", "res", "len", F.explode("qs").alias("q")).filter("q > 0 and q <= len")
-    return sized.select("sid", "len", "q", F.posexplode(F.expr("transform(sequence(1, len - q + 1), s -> hash(q, substring(res, s, q)))")).alias("p_t", "g")).select(F.col("sid").alias("sid_t"), F.col("len").alias("len_t"), "q", "p_t", "g")
+    q = f"cast(floor(n / (floor({percent} * floor(100 * n / {100 - percent}) / 100) + 1)) as int)"
+    sized = sized.selectExpr("sid", "res", "len", f"{_band('len', percent)} as band", f"explode(array_distinct(transform(sequence({shortest}, greatest({shortest}, {most})), n -> {q}))) as q").filter("q > 0 and q <= len")
+    placed = sized.selectExpr("*", "explode(sequence(0, len - q)) as p_t")
+    return placed.selectExpr("sid as sid_t", "len as len_t", "p_t", f"xxhash64(q, band, {_bucket('p_t', 'band', percent)}, substring(res, p_t + 1, q)) as key")
+
+
+_WORD, _BIT = f"cast(key & {(1 << WORD_BITS) - 1} as int)", "cast(shiftrightunsigned(key, 58) as int)"
+
+
+def in_bitmap(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose key is not among ``keys``: a Bloom filter of one bit a key."""
+    words = keys.selectExpr(f"{_WORD} as word", f"shiftleft(1L, {_BIT}) as mask").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    # at most 2^WORD_BITS rows of 12 bytes
+    marked = rows.withColumn("word", F.expr(_WORD)).join(F.broadcast(words), "word")
+    return marked.filter(F.expr(f"getbit(mask, {_BIT}) = 1")).drop("word", "mask")
 
 
 def candidates(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (sid_e, sid_t) with a common segment at an allowed position."""
-    e, t = segments(strings, percent), substrings(strings, percent)
+    e = segments(strings, percent)
+    t = in_bitmap(substrings(strings, percent), e.select("key"))
     delta, shift = F.col("len_t") - F.col("len_e"), F.col("p_t") - F.col("p")
     longest = F.greatest("len_e", "len_t")
     allowed = (100 * F.abs(delta) <= percent * longest) & (F.abs(shift) <= F.col("i")) & (F.abs(shift - delta) <= F.col("k") - F.col("i"))
-    return e.join(t, ["g", "q"]).filter(allowed).select("sid_e", "sid_t").distinct()
+    return e.join(t, "key").filter(allowed).select("sid_e", "sid_t").distinct()
 
 
 def string_pairs(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -114,6 +149,22 @@ def overlaps(entities: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def members(entities: DataFrame) -> DataFrame:
+    """ent_row, sid, split: every row with the representative (smallest ent_row) of its string."""
+    rows = split_rows(entities)
+    return rows.join(distinct_strings(rows).select("res", "sid"), "res").select("ent_row", "sid", "split")
+
+
+def representative_pairs(entities: DataFrame) -> DataFrame:
+    """sid_e, sid_t, distance: overlapping pairs of distinct strings, each named by its smallest ent_row.
+
+    With :func:`members` this is the whole result without expanding copies: a
+    string that stands in a third of train and of val is one pair. A string that
+    stands in both splits is paired with itself at distance 0.
+    """
+    return string_pairs(distinct_strings(split_rows(entities)))
+
+
 def row_pairs(entities: DataFrame) -> DataFrame:
     """ent_row_a, ent_row_b: each overlapping pair of rows, the smaller first."""
     return overlaps(entities).select(F.least("ent_row_e", "ent_row_t").alias("ent_row_a"), F.greatest("ent_row_e", "ent_row_t").alias("ent_row_b"))

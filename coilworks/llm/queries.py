@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.row_pairs(table(spark, sf_dir, "entities"))
 
 
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.representative_pairs(table(spark, sf_dir, "entities"))
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.members(table(spark, sf_dir, "entities"))
+
+
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, sf_dir, "entities"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     "p2_unmatched": p2_unmatched,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p3_pairs": p3_pairs,
+    "p3_members": p3_members,
     "p4_found": _related(grouping.related_rows),
     "p4_forest": _related(grouping.forest_edges),
     "p4_splits": _assigned,
@@ -86,12 +96,15 @@ _PAIRS = _ROWS + (
     ",h AS (SELECT * FROM r WHERE split IN ('val','test') AND res<>''), t AS (SELECT * FROM r WHERE split='train' AND res<>''),"
     "p AS (SELECT h.ent_row AS e, t.ent_row AS t, levenshtein(h.res,t.res) AS d FROM h JOIN t ON 100*abs(length(h.res)-length(t.res))<=15*greatest(length(h.res),length(t.res)) WHERE 100*levenshtein(h.res,t.res)<=15*greatest(length(h.res),length(t.res)))"
 )
+_STRINGS = _ROWS + ",g AS (SELECT *, min(ent_row) OVER (PARTITION BY res) AS sid FROM r WHERE split IN ('train','val','test') AND res<>''), h AS (SELECT DISTINCT sid, res FROM g WHERE split<>'train'), t AS (SELECT DISTINCT sid, res FROM g WHERE split='train')"
 _CODE = "regexp_replace(regexp_replace(upper(regexp_replace(accession_code,'[\\s\u00a0]','','g')),'^(" + residues.DATABASES + ")[:|]',''),'\\.\\d+$','')"
 _PLACEHOLDERS = ",".join(f"'{p}'" for p in residues.PLACEHOLDERS)
 # the whole tables: brute force over all pairs of splits, and reachability within groups
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_PAIRS} SELECT least(e,t) AS ent_row_a, greatest(e,t) AS ent_row_b FROM p",
     "p3_counts": f"WITH {_PAIRS}, c AS (SELECT e, count(*) AS n, min(d) AS least FROM p GROUP BY e) SELECT split, feed, count(*) AS eval_rows, count(n) AS overlapping_rows, count(*) FILTER (WHERE least=0) AS exact_rows, CAST(coalesce(sum(n),0) AS BIGINT) AS pairs FROM (SELECT ent_row, split, feed FROM r WHERE split IN ('val','test') AND res<>'') x LEFT JOIN c ON ent_row=e GROUP BY split, feed",
+    "p3_pairs": f"WITH {_STRINGS} SELECT h.sid AS sid_e, t.sid AS sid_t, CAST(levenshtein(h.res,t.res) AS INTEGER) AS distance FROM h JOIN t ON 100*abs(length(h.res)-length(t.res))<=15*greatest(length(h.res),length(t.res)) WHERE 100*levenshtein(h.res,t.res)<=15*greatest(length(h.res),length(t.res))",
+    "p3_members": f"WITH {_STRINGS} SELECT ent_row, sid, split FROM g",
     "p4_found": f"WITH RECURSIVE {_ROWS}, c AS (SELECT DISTINCT entry_id, entity_id, {_CODE} AS code FROM entity_db_links WHERE accession_code IS NOT NULL),"
     f" k AS (SELECT ent_row, 'a '||code AS key FROM r JOIN c USING (entry_id, entity_id) WHERE lower(code) NOT IN ({_PLACEHOLDERS}) UNION SELECT ent_row, 's '||res FROM r WHERE res<>''),"
     " hub AS (SELECT key, min(ent_row) AS b FROM k GROUP BY key), e AS (SELECT DISTINCT ent_row AS a, b FROM k JOIN hub USING (key) WHERE ent_row<>b), bi AS (SELECT a, b FROM e UNION SELECT b, a FROM e),"

@@ -67,6 +67,24 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_one_segment_in_every_row(spark):
+    """A tag at the start of all strings and a run within them: hot segments lose no pair."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(160):
+        body = "".join(rng.choice(AA) for _ in range(rng.choice([30, 40, 60])))
+        for split in ("train", "val"):
+            s = "MGSSHHHHHHSSG" + mutated(rng, body[:15] + "AAAAAAAA" + body[15:], rng.randrange(7))
+            rows.append((len(rows), "e", str(n), P, s, split, "f"))
+    strings = [(r[0], r[4], r[5]) for r in rows]
+    want = {(min(i, j), max(i, j)) for (i, a, s), (j, b, t) in itertools.combinations(strings, 2) if s != t and abs(len(a) - len(b)) <= 12 and 100 * edit(a, b) <= 15 * max(len(a), len(b))}
+    e = entities(spark, rows)
+    assert {tuple(r) for r in overlap.row_pairs(e).collect()} == want and len(want) >= 100
+    of = {r.ent_row: r.sid for r in overlap.members(e).collect()}
+    pairs = [(r.sid_e, r.sid_t) for r in overlap.representative_pairs(e).collect()]
+    assert len(pairs) == len(set(pairs)) and {tuple(sorted((i, j))) for x, y in pairs for i in of for j in of if (of[i], of[j]) == (x, y) and rows[i][5] == "val" and rows[j][5] == "train"} == want
+
+
 def test_no_overlaps_in_an_empty_table(spark):
     assert overlap.row_pairs(entities(spark, [])).count() == 0
     c = overlap.overlap_counts(entities(spark, [(1, "e", "1", P, "ACDEFGHIKL", "val", "f"), (2, "e", "2", P, "ACDEFGHIKL", "train", "f"), (3, "e", "3", P, "WWWWWWWWWW", "val", "f")])).collect()
