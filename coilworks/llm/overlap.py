@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coilworks.llm import residues
+from coilworks.session import checkpoint
 
 PERCENT = 15  #: edit distance allowed, in per cent of the longer length
 WORD_BITS = 18  #: the bitmap of keys has 2^WORD_BITS words (2 MB)
@@ -46,8 +47,8 @@ def _band(length: str, percent: int) -> str:
 
 
 def _bucket(position: str, band: str, percent: int) -> str:
-    """Bucket of a position: an edit distance of the band wide, so that a window reaches a few."""
-    width = f"greatest(1D, floor({percent} * exp(({band} + 1) * {-math.log(1 - percent / 100)!r}D) / 100))"
+    """Bucket of a position: two edit distances of the band wide, so that a window reaches one or two."""
+    width = f"greatest(1D, floor(2 * {percent} * exp(({band} + 1) * {-math.log(1 - percent / 100)!r}D) / 100))"
     return f"cast(floor({position} / {width}) as int)"
 
 
@@ -59,7 +60,7 @@ def distinct_strings(rows: DataFrame) -> DataFrame:
 
 
 def segments(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Segments of evaluation strings: sid_e, len_e, k, i (place), p (start), key.
+    """Segments of evaluation strings: sid_e, len_e, i (place), key.
 
     Segment i starts at floor(i * L / (k+1)), so each has q or q+1 letters; the
     first q are compared, so that all segments of a string have one length. One
@@ -72,7 +73,7 @@ def segments(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
     # shifts that some admissible length allows
     low, high = "greatest(0, p + greatest(-i, least - len - (k - i)))", "greatest(0, p + least(i, most - len + (k - i)))"
     cut = cut.selectExpr("*", f"explode(sequence({_bucket(low, 'band', percent)}, {_bucket(high, 'band', percent)})) as bucket")
-    return cut.selectExpr("sid as sid_e", "len as len_e", "k", "i", "p", "xxhash64(q, band, bucket, substring(res, p + 1, q)) as key")
+    return cut.selectExpr("sid as sid_e", "len as len_e", "i", "xxhash64(q, band, bucket, substring(res, p + 1, q)) as key")
 
 
 def substrings(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -105,9 +106,11 @@ def candidates(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (sid_e, sid_t) with a common segment at an allowed position."""
     e = segments(strings, percent)
     t = in_bitmap(substrings(strings, percent), e.select("key"))
-    delta, shift = F.col("len_t") - F.col("len_e"), F.col("p_t") - F.col("p")
+    k = F.expr(_K.format(p=percent).replace("len", "len_e"))
+    start = F.floor(F.col("i").cast("bigint") * F.col("len_e") / (k + 1))
+    delta, shift = F.col("len_t") - F.col("len_e"), F.col("p_t") - start
     longest = F.greatest("len_e", "len_t")
-    allowed = (100 * F.abs(delta) <= percent * longest) & (F.abs(shift) <= F.col("i")) & (F.abs(shift - delta) <= F.col("k") - F.col("i"))
+    allowed = (100 * F.abs(delta) <= percent * longest) & (F.abs(shift) <= F.col("i")) & (F.abs(shift - delta) <= k - F.col("i"))
     return e.join(t, "key").filter(allowed).select("sid_e", "sid_t").distinct()
 
 
@@ -138,7 +141,7 @@ def overlaps(entities: DataFrame, percent: int = PERCENT) -> DataFrame:
     once for each delivery.
     """
     rows = split_rows(entities)
-    strings = distinct_strings(rows)
+    strings = checkpoint(distinct_strings(rows))
     named = rows.join(strings.select("res", "sid"), "res").drop("res")
     held, train = named.filter("split <> 'train'"), named.filter("split = 'train'")
     return (
@@ -162,7 +165,7 @@ def representative_pairs(entities: DataFrame) -> DataFrame:
     string that stands in a third of train and of val is one pair. A string that
     stands in both splits is paired with itself at distance 0.
     """
-    return string_pairs(distinct_strings(split_rows(entities)))
+    return string_pairs(checkpoint(distinct_strings(split_rows(entities))))
 
 
 def row_pairs(entities: DataFrame) -> DataFrame:
