@@ -9,7 +9,6 @@ a single temperature symbol may carry an offset.
 
 from __future__ import annotations
 
-import math
 import re
 from fractions import Fraction
 from functools import lru_cache
@@ -107,8 +106,10 @@ class Quantity(NamedTuple):
 
 
 def _value(m: re.Match) -> Fraction:
-    power = (m["e"] or m["t"] or "0").translate(_SUPER).replace("−", "-")
-    value = Fraction(m["digits"].replace(",", ".")) * Fraction(10) ** max(-400, min(400, int(power)))
+    whole, _, part = m["digits"].replace(",", ".").partition(".")
+    value = Fraction(int(whole + part), 10 ** len(part))
+    if power := m["e"] or m["t"]:
+        value *= Fraction(10) ** max(-400, min(400, int(power.translate(_SUPER).replace("−", "-"))))
     return -value if m["sign"] and m["sign"].strip() in "-−–" else value
 
 
@@ -124,14 +125,13 @@ def quantities(text: str, dims: tuple[int, int, int]) -> list[Quantity]:
     return out
 
 
-def convert(value: Fraction, unit: Unit) -> Fraction:
-    return value * unit.scale + unit.offset
-
-
-def in_steps(value: Fraction, quantity: str) -> int:
-    """Kelvin in hundredths, mol/m3 in µmol/L; halves away from zero."""
-    x = value * (100 if quantity == "temperature" else 1000)
-    return int(math.floor(x + Fraction(1, 2))) if x >= 0 else -int(math.floor(-x + Fraction(1, 2)))
+def in_steps(value: Fraction, unit: Unit, quantity: str) -> int:
+    """value * scale + offset: kelvin in hundredths, mol/m3 in µmol/L; halves away from zero. In whole numbers, exact."""
+    scale, offset = unit.scale, unit.offset
+    below = value.denominator * scale.denominator
+    n = (value.numerator * scale.numerator * offset.denominator + offset.numerator * below) * (100 if quantity == "temperature" else 1000)
+    d = below * offset.denominator
+    return (2 * n + d) // (2 * d) if n >= 0 else -((d - 2 * n) // (2 * d))
 
 
 _ERROR = re.compile(r"±|\+\s?/\s?[-−]|\+-")
@@ -167,7 +167,7 @@ def read_condition(var_type: str | None, val: str | None, val_units: str | None)
     if unit is None and len(found) > 1 and _ERROR.search(val[found[0].end : found[1].start + 1]):
         unit = found[1].unit
     unit = unit or whole_unit(val_units, dims) or _type_unit(var_type, dims)
-    return (quantity, in_steps(convert(found[0].value, unit), quantity)) if unit else None
+    return (quantity, in_steps(found[0].value, unit, quantity)) if unit else None
 
 
 _LOWER = re.compile(r"(?i)(?:>|≥|>=|⩾|at least|from|above|over|min(?:imum)?\.?)\s*=?\s*$")
@@ -251,5 +251,5 @@ def read_range(text: str | None, unit: str | None, assume: str | None, correct:
                 elif quantity == "ionic_strength" and value > 5:
                     name = "mM"
             known = whole_unit(name, dims)
-        out.append((side, in_steps(convert(value, known), quantity)))
+        out.append((side, in_steps(value, known, quantity)))
     return tuple(out)

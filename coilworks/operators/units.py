@@ -1,14 +1,14 @@
 """Quantities recorded in different units, brought to kelvin and mol/L (problem 5).
 
-The text grammar of :mod:`coilworks.functions.units` runs in Arrow-batched
-pandas UDFs behind the column-pruned scan; there is no shuffle and no state, and
+The text grammar of :mod:`coilworks.functions.units` runs in Arrow
+UDFs behind the column-pruned scan; there is no shuffle and no state, and
 distinct spellings are read once for each worker. ``std_value`` counts
 hundredths of a kelvin or µmol/L.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,26 +20,27 @@ _LIMIT = 2**63
 # types as objects: workers import this module, where there is no session to parse them
 _VALUE = T.StructType().add("quantity", T.StringType()).add("std_value", T.LongType())
 _BOUNDS = T.ArrayType(T.StructType().add("quantity", T.StringType()).add("bound_side", T.StringType()).add("std_value", T.LongType()))
+_VALUE_ARROW = pa.struct([("quantity", pa.string()), ("std_value", pa.int64())])
+_BOUNDS_ARROW = pa.list_(pa.struct([("quantity", pa.string()), ("bound_side", pa.string()), ("std_value", pa.int64())]))
 
 
 def _fits(value: int) -> bool:
     return -_LIMIT <= value < _LIMIT
 
 
-@F.pandas_udf(_VALUE)
-def _condition(var_type: pd.Series, val: pd.Series, val_units: pd.Series) -> pd.DataFrame:
-    got = [units.read_condition(*row) for row in zip(var_type, val, val_units)]
-    got = [g if g and _fits(g[1]) else (None, None) for g in got]
-    return pd.DataFrame({"quantity": pd.Series([g[0] for g in got], dtype=object), "std_value": pd.Series([g[1] for g in got], dtype="Int64")})
+@F.arrow_udf(_VALUE)
+def _condition(var_type: pa.Array, val: pa.Array, val_units: pa.Array) -> pa.Array:
+    read = (units.read_condition(*row) for row in zip(var_type.to_pylist(), val.to_pylist(), val_units.to_pylist()))
+    return pa.array([{"quantity": r[0], "std_value": r[1]} if r and _fits(r[1]) else {"quantity": None, "std_value": None} for r in read], _VALUE_ARROW)
 
 
-@F.pandas_udf(_BOUNDS)
-def _ranges(t: pd.Series, tu: pd.Series, i: pd.Series, iu: pd.Series, assume: pd.Series, correct: pd.Series) -> pd.Series:
+@F.arrow_udf(_BOUNDS)
+def _ranges(t: pa.Array, tu: pa.Array, i: pa.Array, iu: pa.Array, assume: pa.Array, correct: pa.Array) -> pa.Array:
     out = []
-    for a, b, c, d, e, f in zip(t, tu, i, iu, assume, correct):
+    for a, b, c, d, e, f in zip(*[column.to_pylist() for column in (t, tu, i, iu, assume, correct)]):
         both = [("temperature", s, v) for s, v in units.read_range(a, b, e, f, "temperature")] + [("ionic_strength", s, v) for s, v in units.read_range(c, d, e, f, "ionic_strength")]
         out.append([{"quantity": q, "bound_side": s, "std_value": v} for q, s, v in both if _fits(v)])
-    return pd.Series(out, dtype=object)
+    return pa.array(out, _BOUNDS_ARROW)
 
 
 def condition_values(conditions: DataFrame) -> DataFrame:
