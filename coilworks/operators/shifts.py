@@ -1,13 +1,15 @@
 """Backbone shifts of peptides: checks, filters, renaming, averaging, coverage.
 
-Rows are brought together by peptide once; every later group key contains the
-peptide, so deduplication, conflicts, averages and coverage follow in the same
-partitions without another shuffle.
+Two exchanges at most: rows are combined to one for each chain, position and atom
+name (before the shuffle too, so that a hot entry sends its cells once), then
+brought together by peptide. Every later group key contains the peptide, so
+faults, averages and coverage follow in the same partitions. A peptide has no
+more cells than its sequence has atoms and its faulty positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coilworks.functions.chi import ATOMS
@@ -64,31 +66,43 @@ def checked_rows(shifts: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def cell_values(checked: DataFrame) -> DataFrame:
-    """Kept rows of one atom name at a position: value (the only one) and conflict (two different rows).
+TESTS = ("bad_pos", "beyond", "mismatch", "bad_value", "bad_name")
+
+
+def cells(checked: DataFrame) -> DataFrame:
+    """One row for each chain, position and atom name, combined before the shuffle: what its rows say.
 
-    Identical rows, the error included, are one; null errors are equal.
+    n kept rows, the smallest and greatest (value, error) of them, and each test's
+    worst outcome. Identical rows, the error included, are one; null errors are equal.
     """
-    pair = F.struct("value", "error")
-    rows = checked.filter("kept").repartition(*PEPTIDE)
-    return rows.groupBy(*PEPTIDE, "length", "pos", "atom", "atom_id").agg(F.min(pair).alias("a"), F.max(pair).alias("b"), F.count("*").alias("n")).select(*PEPTIDE, "length", "pos", "atom", "atom_id", F.col("a.value").alias("value"), "n", (~F.col("a").eqNullSafe(F.col("b"))).alias("conflict"))
+    pair = F.when(F.col("kept"), F.struct("value", "error"))
+    rows = checked.groupBy(*PEPTIDE, "length", "pos", "atom", "atom_id").agg(F.min(pair).alias("a"), F.max(pair).alias("b"), F.count_if("kept").alias("n"), *[F.max(t).alias(t) for t in TESTS])
+    return rows.withColumn("conflict", (F.col("n") > 0) & ~F.col("a").eqNullSafe(F.col("b"))).withColumn("value", F.col("a.value")).drop("a", "b")
+
+
+def cell_values(checked: DataFrame) -> DataFrame:
+    """Kept rows of one atom name at a position: value (the only one) and conflict (two different rows)."""
+    return cells(checked).filter("n > 0").select(*PEPTIDE, "length", "pos", "atom", "atom_id", "value", "n", "conflict")
 
 
 def rejected_peptides(checked: DataFrame) -> DataFrame:
-    """PEPTIDE with one boolean a test; a peptide with any of them has no shifts. Hot entries are combined before the shuffle."""
-    tests = ("bad_pos", "beyond", "mismatch", "bad_value", "bad_name")
-    by_row = checked.groupBy(*PEPTIDE).agg(*[F.max(t).alias(t) for t in tests])
-    conflicts = cell_values(checked).groupBy(*PEPTIDE).agg(F.max("conflict").alias("conflict"))
-    out = by_row.join(conflicts, list(PEPTIDE), "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
-    any_test = F.greatest(*[F.col(t).cast("int") for t in (*tests, "conflict")]) == 1
-    return out.withColumn("rejected", any_test)
+    """PEPTIDE with one boolean a test; a peptide with any of them has no shifts."""
+    out = cells(checked).groupBy(*PEPTIDE).agg(*[F.max(t).alias(t) for t in (*TESTS, "conflict")])
+    return out.withColumn("rejected", _any_fault())
+
+
+def _any_fault() -> Column:
+    return F.greatest(*[F.col(t).cast("int") for t in (*TESTS, "conflict")]) == 1
+
+
+def _judged(checked: DataFrame) -> DataFrame:
+    """Cells with ``rejected``, a fault anywhere in their peptide; partitioned by peptide, whose cells are few."""
+    return cells(checked).withColumn("rejected", F.max(_any_fault()).over(Window.partitionBy(*PEPTIDE)))
 
 
 def averaged(checked: DataFrame) -> DataFrame:
     """PEPTIDE, length, pos, atom, value of the peptides without a fault: the mean over protons of one name."""
-    good = rejected_peptides(checked).filter("not rejected").select(*PEPTIDE)
-    means = cell_values(checked).groupBy(*PEPTIDE, "length", "pos", "atom").agg(F.avg("value").alias("value"))
-    return means.join(good, list(PEPTIDE), "left_semi")
+    return _judged(checked).filter("n > 0 and not rejected").groupBy(*PEPTIDE, "length", "pos", "atom").agg(F.avg("value").alias("value"))
 
 
 def coverage(checked: DataFrame) -> DataFrame:
@@ -96,9 +110,13 @@ def coverage(checked: DataFrame) -> DataFrame:
 
     A sequence under two residues has 0, 0, 0.
     """
-    cells = averaged(checked).groupBy(*PEPTIDE).agg(F.count_if((F.col("pos") > 1) & (F.col("pos") < F.col("length"))).alias("total"), F.count_distinct("atom").alias("types"), F.count_distinct("pos").alias("positions"))
-    peptides = rejected_peptides(checked).select(*PEPTIDE, "rejected").join(checked.groupBy(*PEPTIDE).agg(F.max("length").alias("length")), list(PEPTIDE))
-    joined = peptides.join(cells, list(PEPTIDE), "left")
-    short = F.col("length") < 2
-    value = lambda c: F.when(~F.col("rejected"), F.when(short, F.lit(0)).otherwise(F.coalesce(c, F.lit(0)))).cast("bigint")
-    return joined.select(*PEPTIDE, "length", value(F.col("total")).alias("total"), value(F.col("types")).alias("types"), value(F.col("positions")).alias("positions"))
+    places = {a: 1 << j for j, a in enumerate(ATOMS)}
+    bit = F.element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), F.col("atom"))
+    seen = F.coalesce(F.bit_or(F.when(F.col("n") > 0, bit)), F.lit(0))
+    by_residue = _judged(checked).groupBy(*PEPTIDE, "length", "rejected", "pos").agg(seen.alias("seen"))
+    inner = (F.col("pos") > 1) & (F.col("pos") < F.col("length"))
+    out = by_residue.groupBy(*PEPTIDE).agg(
+        F.max("length").alias("length"), F.max("rejected").alias("rejected"), F.sum(F.when(inner, F.bit_count("seen")).otherwise(0)).alias("total"), F.bit_count(F.bit_or("seen")).alias("types"), F.count_if(F.col("seen") > 0).alias("positions")
+    )
+    value = lambda c: F.when(~F.col("rejected"), F.when(F.col("length") < 2, F.lit(0)).otherwise(F.col(c))).cast("bigint").alias(c)
+    return out.select(*PEPTIDE, "length", value("total"), value("types"), value("positions"))
