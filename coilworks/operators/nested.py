@@ -12,6 +12,8 @@ the input and no record, however hot its entry, is brought together with others.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ SHAPES = {
     "entity": ["id", "name", "details", "type", "polymer_type", "seq", "links*"],
     "link": ["code", "accession", "mol_code", "identity"],
 }
+_TWICE = "spark.sql.variant.allowDuplicateKeys"
 NODE_FIELDS = ("entry_id", "node_kind", "parent_id", "node_id", "ref_id")
 
 #: Spellings under which each part of a record is written, all read.
@@ -179,7 +182,24 @@ def normalized(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFra
     nodes keep their own places. Other columns of ``df`` are not read, whatever
     their names.
     """
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    steps = _steps(df.sparkSession.sparkContext)
+    # of a key written twice the last value counts; the parsers take the setting when they are analyzed
+    conf = df.sparkSession.conf
+    before = conf.get(_TWICE)
+    conf.set(_TWICE, "true")
+    try:
+        for name in ("root", "top", "raw", "e"):
+            df = df.select(*keep, steps[name].alias(f"_{name}"))
+        for name in ("cmp", "ent"):
+            df = df.select("*", steps[name].alias(f"_{name}"))
+    finally:
+        conf.set(_TWICE, before)
+    return df.filter(F.col("_e").isNotNull()).select(*keep, *[steps[n].alias(n) for n in ("assemblies", "components", "entities", "links")])
+
+
+@lru_cache(maxsize=1)
+def _steps(context) -> dict[str, Column]:
+    """The expressions of :func:`normalized`, the same for all data: built once for a Spark context."""
     root = _let(_parsed(F.col("payload")), _unwrap)
 
     # wrappers around the entry: data, entry, entries, bare lists
@@ -193,14 +213,14 @@ def normalized(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFra
         return _let(inner, lambda x: F.when(x.isNull(), F.array(v)).otherwise(as_list(x)))
 
     level = lambda arr: F.flatten(F.transform(arr, unpack))
-    df = df.select(*keep, root.alias("_root")).select(*keep, F.when(F.col("_root").isNotNull(), as_list(F.col("_root"))).alias("_top"))
+    top = F.when(F.col("_root").isNotNull(), as_list(F.col("_root")))
     spelled, plain = _cast_types("entry")
 
     def entry(v: Column) -> Column:
         x = F.try_variant_get(v, "$", spelled).cast(plain)
         return _let(x, lambda x: F.when(x.isNotNull(), _tidy("entry", lambda n, i: x[f"{n}_{i}"], lambda n, i: x[f"{n}_{i}"], F.lit(None).cast("string"))))
 
-    df = df.select(*keep, F.filter(F.transform(level(level(level(F.col("_top")))), entry), lambda e: e.isNotNull()).alias("_raw"))
+    raw = F.filter(F.transform(level(level(level(F.col("_top")))), entry), lambda e: e.isNotNull())
 
     def parts_of(e: Column, i: Column) -> Column:
         frames = F.try_variant_get(e["saveframes"], "$", _FRAMES)
@@ -215,8 +235,6 @@ def normalized(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFra
             ),
         )
 
-    df = df.select(*keep, F.transform("_raw", parts_of).alias("_e"))
-
     def components_of(e: Column) -> Column:
         def of(a: Column, i: Column) -> Column:
             place = lambda j: (j + 1).cast("string")
@@ -230,14 +248,12 @@ def normalized(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFra
 
         return F.flatten(F.transform(e["asm"], of))
 
-    df = df.select("*", F.flatten(F.transform("_e", components_of)).alias("_cmp"))
-
     # an entity written inside a component belongs to the entry all the same
     def inside(c: Column) -> Column:
         return F.transform(_items(c["entity"], "entity"), lambda n: F.struct(c["entry_id"].alias("entry_id"), c["entry_place"].alias("entry_place"), n.withField("links", _items(n["links"], "link")).alias("n")))
 
     listed = F.flatten(F.transform("_e", lambda e: F.transform(e["ent"], lambda n: F.struct(e["entry_id"].alias("entry_id"), e["place"].alias("entry_place"), n.alias("n")))))
-    df = df.select("*", F.concat(listed, F.flatten(F.transform(F.filter("_cmp", lambda c: c["entity"].isNotNull()), inside))).alias("_ent"))
+    ent = F.concat(listed, F.flatten(F.transform(F.filter("_cmp", lambda c: c["entity"].isNotNull()), inside)))
 
     assemblies = F.flatten(F.transform("_e", lambda e: F.transform(e["asm"], lambda a, i: F.struct(e["entry_id"].alias("entry_id"), e["place"].alias("entry_place"), (i + 1).alias("assembly_place"), a["id"].alias("assembly_id"), a["name"].alias("name"), a["details"].alias("details")))))
     entities = F.transform(
@@ -246,7 +262,10 @@ def normalized(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> DataFra
     )
     link = lambda x, i, k, j: F.struct(x["entry_id"].alias("entry_id"), x["entry_place"].alias("entry_place"), (i + 1).alias("entity_place"), x["n"]["id"].alias("entity_id"), (j + 1).alias("link_place"), k["code"].alias("database_code"), k["accession"].alias("accession_code"), k["mol_code"].alias("entry_mol_code"), k["identity"].alias("seq_identity"))
     links = F.flatten(F.transform("_ent", lambda x, i: F.transform(x["n"]["links"], lambda k, j: link(x, i, k, j))))
-    return df.filter(F.col("_e").isNotNull()).select(*keep, assemblies.alias("assemblies"), F.transform("_cmp", lambda c: c.dropFields("entity")).alias("components"), entities.alias("entities"), links.alias("links"))
+    return {
+        "root": root, "top": top, "raw": raw, "e": F.transform("_raw", parts_of), "cmp": F.flatten(F.transform("_e", components_of)), "ent": ent,
+        "assemblies": assemblies, "components": F.transform("_cmp", lambda c: c.dropFields("entity")), "entities": entities, "links": links,
+    }
 
 
 def flat_tables(df: DataFrame, keep: tuple[str, ...] = ("record_id",)) -> dict[str, DataFrame]:

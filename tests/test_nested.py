@@ -52,3 +52,11 @@ def test_flat_tables_keep_parents(spark):
     assert joined.count() == 2
     assert sorted(r.entity_id for r in t["links"].collect()) == ["2", "2"]
     assert t["links"].join(t["entities"], ["record_id", "entry_place", "entity_place"]).count() == 2
+
+
+def test_keys_written_twice(spark):
+    whole = json.dumps(ENTRY)
+    inner = json.dumps(ENTRY["entities"]).replace('"ID": 2', '"ID": 1, "ID": 2')
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    got = found(spark, [whole.replace('"entry_id": "7"', '"entry_id": "6", "entry_id": "7"'), json.dumps(ENTRY | {"entities": inner})])
+    assert got == [NODES, NODES] and spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
