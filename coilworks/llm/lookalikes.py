@@ -1,8 +1,8 @@
 """What looks alike: the character table of problem 8.
 
-``skeleton`` gives one form to all texts that look the same; it is a function of
-the text alone, so equal skeletons define the classes that the vocabulary trie
-of :mod:`coilworks.llm.canonical` then gives their spellings.
+``of_char`` gives the look of one character, the edges of the vocabulary trie of
+:mod:`coilworks.llm.canonical`; ``skeleton`` spells a whole text by it and stands
+for what the vocabulary does not have.
 """
 
 from __future__ import annotations
@@ -16,9 +16,17 @@ CYRILLIC_AS = "aeopcyxijshdqwlABEKMHOPCTXIJSYG"
 GREEK = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ"
 GREEK_AS = "oABEZHIKMNOPTYXcj"
 
+# fixed values: letters that look like a Latin one in many typefaces but are signs of their own too (Hα, Δν); read
+# as that letter only where a word mixes alphabets and the corpus has the word so spelled
+WEAK = "αγικνρτυωкмт"
+WEAK_AS = "ayikvptuwkmt"
+
 # fixed values: two code points of one sign that canonical decomposition leaves apart
 TWINS = {"\u00b5": "\u03bc", "\u2206": "\u0394", "\u2211": "\u03a3", "\u220f": "\u03a0", "\u2011": "\u2010"}
 
+#: characters written as two or more letters: Latin ligatures, digraphs and Roman numerals
+DIGRAPHS = ((0xFB00, 0xFB17), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F))
+
 _ALIKE = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)) | TWINS
 
 
@@ -41,7 +49,7 @@ def of_char(ch: str) -> str:
     wide = unicodedata.decomposition(ch)
     if wide.startswith(("<wide>", "<narrow>")):
         return "".join(of_char(chr(int(x, 16))) for x in wide.split()[1:])
-    if wide.startswith("<compat>") and 0xFB00 <= ord(ch) <= 0xFB17:
+    if wide.startswith("<compat>") and any(a <= ord(ch) <= b for a, b in DIGRAPHS):
         return "".join(of_char(chr(int(x, 16))) for x in wide.split()[1:])
     return "".join(_ALIKE.get(c, c) for c in unicodedata.normalize("NFD", ch))
 
@@ -53,6 +61,12 @@ class _Table(dict):
 
 
 _TABLE = _Table()
+_WEAK_TABLE = str.maketrans(WEAK, WEAK_AS)
+
+
+def coarse(text: str) -> str:
+    """The skeleton with weak look-alikes as Latin letters: equal for all that may look alike, and for more."""
+    return skeleton(text).translate(_WEAK_TABLE)
 
 
 def skeleton(text: str) -> str:

@@ -301,12 +301,22 @@ def test_alike_pairs(spark, monkeypatch):
     want = sorted((i, j) for (i, a), (j, b) in itertools.combinations(docs, 2) if a is not None and b is not None and a != b and skeleton(a) == skeleton(b))
     assert sorted(map(tuple, canonical.alike_pairs(D).collect())) == want
     one = {r.doc_id: r.canon for r in canonical.normalize(D).collect()}
-    monkeypatch.setattr(canonical, "BROADCAST_WORDS", -1)
+    monkeypatch.setattr(canonical, "BROADCAST_BYTES", -1)
     assert {r.doc_id: r.canon for r in canonical.normalize(D).collect()} == one
     assert one[15] == "сигнал" and len(one) == len(docs)
     assert canonical.alike_pairs(D.limit(0)).count() == 0
 
 
+def test_the_vocabulary_decides(spark, monkeypatch):
+    """A letter that may look Latin is read so only in a word that the corpus has; without vocabulary the pair is lost."""
+    docs = ["the kinase acts", "the \u043ainase acts", "the Hα shift", "the Ha shift", "a \u03bd\u0435ctor", "a vector", "\u03bdolt", "Δν band", "Δv band", "xk\u0431", "type Ⅳ", "type IV"]
+    D = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert sorted(map(tuple, canonical.alike_pairs(D).collect())) == [(0, 1), (4, 5), (10, 11)]
+    empty = spark.createDataFrame([], "word string, canon string")
+    monkeypatch.setattr(canonical, "dictionary", lambda documents: empty)
+    assert sorted(map(tuple, canonical.alike_pairs(D).collect())) == [(10, 11)]
+
+
 # --- problem 7
 
 
