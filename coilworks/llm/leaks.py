@@ -4,24 +4,32 @@ An inverted BM25 index of the test items is queried with every passage of every
 document. Passages are windows of 30 words every 15 words, so that each run of
 15 words lies whole in one of them. The threshold of an item is the least score
 that any 15 consecutive words of it give; a passage that holds such a run scores
-no less, so nothing is lost. Scoring is block-max WAND for a batch of passages
-at once: passages whose terms' largest impacts stay below every threshold fall
-first, then blocks of items whose block maxima stay below the block's least
-threshold; only what is left is scored in full. Retrieved pairs are verified by
-comparing runs of words.
-
-Documents are read once and never shuffled: the index, whose size is checked, is
-broadcast; a test set beyond the bound is cut into parts and queried part by
-part. Statistics of the index are those of all items.
+no less, so nothing is lost. Retrieved pairs are verified by comparing runs of
+words.
+
+The index holds postings by term, items in the order of their thresholds, with
+the greatest impact of each term and of each block of postings. Scoring is
+block-max WAND for a batch of passages at once: with a passage's terms ordered by
+greatest impact, those before the pivot, where the sums reach the least
+threshold, cannot carry an item alone; of the others' lists only blocks are
+opened whose maximum, with all that the other terms may add, reaches the block's
+least threshold; opened items take their impacts from the strongest term down
+and are dropped as soon as what is left cannot lift them to their threshold.
+
+Statistics are those of all items. The index is built in tasks, in pieces of
+bounded size (about 12 bytes a posting and 8 a word, under 1 KB for an item of 60
+words), and broadcast up to a bound in bytes: 100,000 such items are one pass over
+the documents. More items make more passes, one after the other. Documents are
+never shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,173 +38,197 @@ from coilworks.llm.lookalikes import words
 from coilworks.session import checkpoint
 
 RUN = 15  #: consecutive words that make a leak
-BLOCK = 16  #: items in a block of the index
+BLOCK = 64  #: postings in a block of the index
 K1, B = 1.2, 0.75
-PART_ITEMS = 256  #: items in one part of the index
-PASS_PARTS = 32  #: parts broadcast and queried in one pass over the documents (8,192 items)
-BATCH = 256  #: documents scored together
+PIECE_WORDS = 1 << 21  #: words of items in one piece of the index, on average
+PASS_BYTES = 256 << 20  #: bytes of pieces broadcast and queried in one pass over the documents
+BATCH = 256  #: documents, and passages, scored together
 
 
-class Part:
-    """BM25 index of up to PART_ITEMS items with block maxima and thresholds."""
+class Index:
+    """BM25 postings of items with block maxima and thresholds."""
 
-    def __init__(self, ids: list[int], texts: list[list[str]], idf: dict[str, float], mean_len: float, run: int):
+    def __init__(self, ids: list[int], texts: list[list[str]], idf: dict[str, float], mean_len: float, run: int = RUN):
         self.run = run
-        vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
-        impact = np.zeros((len(vocab) + 1, len(ids)))  # the last row is for words of no item
+        self.vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+        weight = np.array([idf[w] for w in self.vocab])
+        found, least = [], np.empty(len(ids))
         for j, text in enumerate(texts):
-            tf: dict[int, int] = {}
-            for w in text:
-                tf[vocab[w]] = tf.get(vocab[w], 0) + 1
-            for w, k in ((w, vocab[w]) for w in set(text)):
-                impact[k, j] = idf[w] * tf[k] * (K1 + 1) / (tf[k] + K1 * (1 - B + B * len(text) / mean_len))
-        least = np.array([min(sum(impact[k, j] for k in {vocab[w] for w in t[p : p + run]}) for p in range(len(t) - run + 1)) for j, t in enumerate(texts)])
-        order = np.argsort(least, kind="stable")  # blocks of like thresholds prune best
+            seq = np.fromiter((self.vocab[w] for w in text), np.int32, len(text))
+            terms, place, tf = np.unique(seq, return_inverse=True, return_counts=True)
+            impact = weight[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(text) / mean_len))
+            # each window's terms once: a word counts where it is not repeated within the window
+            windows = np.sort(np.lib.stride_tricks.sliding_window_view(place, run), axis=1)
+            new = np.ones(windows.shape, bool)
+            new[:, 1:] = windows[:, 1:] != windows[:, :-1]
+            least[j] = (impact[windows] * new).sum(axis=1).min()
+            found.append((seq, terms, impact))
+        order = np.argsort(least, kind="stable")
         self.ids = [ids[j] for j in order]
-        self.least = least[order] * (1 - 1e-9)
-        self.impact = np.ascontiguousarray(impact[:, order])
-        starts = range(0, len(ids), BLOCK)
-        self.block_max = np.stack([self.impact[:, s : s + BLOCK].max(axis=1) for s in starts], axis=1)
-        self.block_least = np.array([self.least[s : s + BLOCK].min() for s in starts])
-        self.term_max = self.impact.max(axis=1)
-        self.vocab = vocab
-        self.runs = [{tuple(texts[j][p : p + run]) for p in range(len(texts[j]) - run + 1)} for j in order]
-
-    def retrieve(self, docs: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-        """(document, start of passage, item place) of every passage scoring at least the item's threshold."""
+        self.least = least[order] * (1 - 1e-5)  # impacts are kept in single precision
+        self.seq = [found[j][0] for j in order]
+        item = np.repeat(np.arange(len(ids)), [len(found[j][1]) for j in order])
+        term = np.concatenate([found[j][1] for j in order])
+        by_term = np.lexsort((item, term))
+        self.key = term[by_term].astype(np.int64) * len(ids) + item[by_term]  # term and item of each posting, ascending
+        self.impact = np.concatenate([found[j][2] for j in order])[by_term].astype(np.float32)
+        sizes = np.bincount(term, minlength=len(self.vocab))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        # blocks of each term's list; the last term stands for words of no item and has none
+        blocks = -(-sizes // BLOCK)
+        self.block_of = np.concatenate([[0], np.cumsum(blocks), [blocks.sum()]]).astype(np.int64)
+        within = np.arange(blocks.sum()) - np.repeat(self.block_of[:-2], blocks)
+        self.block_at = np.append(np.repeat(first[:-1], blocks) + within * BLOCK, first[-1])
+        self.block_max = np.maximum.reduceat(self.impact, self.block_at[:-1])
+        self.block_least = self.least[self.key[self.block_at[:-1]] % len(ids)]
+        self.term_max = np.append(np.maximum.reduceat(self.impact, first[:-1]), 0).astype(np.float64)
+        self._runs: dict[int, set[bytes]] = {}
+
+    def read(self, doc: list[str]) -> np.ndarray:
         none = len(self.vocab)
-        flat, doc_of, start_of = [np.full(0, none)], [], []
-        base = 0
-        begins: list[int] = []
-        for d, ws in enumerate(docs):
-            if len(ws) < self.run:
-                continue
-            ids = np.fromiter((self.vocab.get(w, none) for w in ws), dtype=np.int64, count=len(ws))
-            pad = np.full(2 * self.run, none)
-            flat += [ids, pad]
-            for s in range(0, len(ws) - self.run + 1, self.run):
-                doc_of.append(d)
-                start_of.append(s)
-                begins.append(base + s)
-            base += len(ws) + len(pad)
+        return np.fromiter((self.vocab.get(w, none) for w in doc), np.int32, len(doc))
+
+    def retrieve(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(document, start of passage, item place) of every passage scoring at least the item's threshold."""
+        width, none = 2 * self.run, len(self.vocab)
+        flat, doc_of, start_of, begins, base = [], [], [], [], 0
+        for d, ids in enumerate(docs):
+            starts = np.arange(0, len(ids) - self.run + 1, self.run)
+            if len(starts):
+                doc_of.append(np.full(len(starts), d))
+                start_of.append(starts)
+                begins.append(base + starts)
+                flat += [ids, np.full(width, none, np.int32)]
+                base += len(ids) + width
         if not begins:
             return
-        terms, at = np.concatenate(flat), np.array(begins)
-        width = 2 * self.run
-        # WAND: largest impacts of the terms against the least threshold
+        terms, at, doc_of, start_of = np.concatenate(flat), np.concatenate(begins), np.concatenate(doc_of), np.concatenate(start_of)
         sums = np.concatenate([[0.0], np.cumsum(self.term_max[terms])])
         alive = np.nonzero(sums[at + width] - sums[at] >= self.least[0] - 1e-6)[0]
-        if not len(alive):
-            return
-        queries = terms[at[alive][:, None] + np.arange(width)]
-        # block maxima against the block's least threshold
-        bound = np.zeros((len(alive), self.block_max.shape[1]))
-        for c in range(width):
-            bound += self.block_max[queries[:, c]]
-        for b in range(bound.shape[1]):
-            rows = np.nonzero(bound[:, b] >= self.block_least[b] - 1e-6)[0]
-            if len(rows):
-                cols = slice(b * BLOCK, b * BLOCK + BLOCK)
-                block = self.impact[:, cols]
-                score = np.zeros((len(rows), block.shape[1]))
-                for c in range(width):
-                    score += block[queries[rows, c]]
-                hit, item = np.nonzero(score >= self.least[cols][None, :] - 1e-6)
-                for r, j in zip(rows[hit], item):
-                    yield doc_of[alive[r]], start_of[alive[r]], b * BLOCK + int(j)
-
-    def verify(self, ws: list[str], start: int, item: int) -> bool:
-        known, last = self.runs[item], len(ws) - self.run
-        return any(tuple(ws[p : p + self.run]) in known for p in range(start, min(start + self.run - 1, last) + 1))
-
-
-class Statistics(NamedTuple):
-    """Counts over all items of at least a run's length."""
-
-    items: int
-    mean_len: float
-    df: dict[str, int]  #: in how many items a word stands
-
-
-def statistics(items: list[tuple[int, list[str]]]) -> Statistics:
-    df: dict[str, int] = {}
-    for _, t in items:
-        for w in set(t):
-            df[w] = df.get(w, 0) + 1
-    return Statistics(len(items), sum(len(t) for _, t in items) / max(len(items), 1), df)
-
-
-def build_parts(items: list[tuple[int, list[str]]], run: int = RUN, stats: Statistics | None = None) -> list[Part]:
-    """Index parts of the items that have at least ``run`` words; shorter ones cannot leak a run."""
-    items = sorted((i, t) for i, t in items if len(t) >= run)
-    if not items:
-        return []
-    n_all, mean_len, df = stats or statistics(items)
-    idf = {w: float(np.log1p(max(n_all - df[w] + 0.5, 0.5) / (df[w] + 0.5))) for _, t in items for w in t}
-    return [Part([i for i, _ in items[k : k + PART_ITEMS]], [t for _, t in items[k : k + PART_ITEMS]], idf, mean_len, run) for k in range(0, len(items), PART_ITEMS)]
+        for k in range(0, len(alive), BATCH):
+            mine = alive[k : k + BATCH]
+            for row, item in zip(*self._wand(terms[at[mine][:, None] + np.arange(width)])):
+                yield int(doc_of[mine[row]]), int(start_of[mine[row]]), int(item)
+
+    def _wand(self, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) of all scores that reach the item's threshold."""
+        items, none = len(self.ids), len(self.vocab)
+        passages = np.sort(passages, axis=1)
+        passages[:, 1:][passages[:, 1:] == passages[:, :-1]] = none  # a term counts once
+        most = self.term_max[passages]
+        order = np.argsort(most, axis=1, kind="stable")
+        passages, most = np.take_along_axis(passages, order, 1), np.take_along_axis(most, order, 1)
+        sums = np.cumsum(most, axis=1)
+        total = sums[:, -1]
+        # from the pivot on
+        row, col = np.nonzero((sums >= self.least[0] - 1e-6) & (most > 0))
+        term = passages[row, col]
+        size = self.block_of[term + 1] - self.block_of[term]
+        pair = np.repeat(np.arange(len(row)), size)
+        block = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + self.block_of[term][pair]
+        opened = self.block_max[block] + (total[row] - most[row, col])[pair] >= self.block_least[block] - 1e-6
+        pair, block = pair[opened], block[opened]
+        size = self.block_at[block + 1] - self.block_at[block]
+        posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.block_at[block], size)
+        met = np.unique(np.repeat(row[pair], size) * items + self.key[posting] % items)
+        row, item = met // items, met % items
+        score, left = np.zeros(len(met)), total[row]
+        for c in range(passages.shape[1] - 1, -1, -1):
+            if not len(row):
+                break
+            wanted = passages[row, c].astype(np.int64) * items + item
+            place = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            score += np.where(self.key[place] == wanted, self.impact[place], 0.0)
+            left = left - most[row, c]
+            kept = score + left >= self.least[item] - 1e-6
+            row, item, score, left = row[kept], item[kept], score[kept], left[kept]
+        return row, item
+
+    def verify(self, doc: np.ndarray, start: int, item: int) -> bool:
+        """Whether a run of the passage stands in the item, word for word."""
+        if item not in self._runs:
+            seq = self.seq[item]
+            self._runs[item] = {seq[p : p + self.run].tobytes() for p in range(len(seq) - self.run + 1)}
+        known, last = self._runs[item], len(doc) - self.run
+        return any(doc[p : p + self.run].tobytes() in known for p in range(start, min(start + self.run - 1, last) + 1))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _words(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else words(t) for t in text.to_pylist()], pa.list_(pa.string()))
+
+
+def index_pieces(items: DataFrame, run: int = RUN) -> DataFrame:
+    """piece, size: pickled :class:`Index` objects over the items of at least ``run`` words, and their bytes.
+
+    Items of one id are in one piece. Shorter items cannot hold a run.
+    """
+    read = checkpoint(items.select("item_id", _words("item_text").alias("w")).filter(F.size("w") >= run).withColumn("row", F.monotonically_increasing_id()))
+    whole = read.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words")).first()
+    n, mean_len, pieces = whole.n, whole.words / max(whole.n, 1), -(-whole.words // PIECE_WORDS) or 1
+    counts = read.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    df = read.select("row", F.explode(F.array_distinct("w")).alias("word")).join(counts, "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("df"))
+
+    def build(rows: pa.Table) -> pa.Table:
+        idf: dict[str, float] = {}
+        for found in rows.column("df").to_pylist():
+            for w, k in found:
+                idf[w] = float(np.log1p((n - k + 0.5) / (k + 0.5)))
+        made = Index(rows.column("item_id").to_pylist(), rows.column("w").to_pylist(), idf, mean_len, run)
+        data = pickle.dumps(made, protocol=5)
+        return pa.table({"piece": pa.array([data], pa.binary()), "size": pa.array([len(data)], pa.int64())})
+
+    cut = read.join(df, "row").select("item_id", "w", "df", F.pmod(F.xxhash64("item_id"), F.lit(pieces)).alias("c"))
+    return checkpoint(cut.groupBy("c").applyInArrow(build, "piece binary, size bigint"))
+
+
+def _passes(pieces: DataFrame) -> Iterator[list[bytes]]:
+    """The pieces in lists of at most PASS_BYTES, or of one piece."""
+    now, size = [], 0
+    for r in pieces.toLocalIterator():
+        if now and size + r["size"] > PASS_BYTES:
+            yield now
+            now, size = [], 0
+        now.append(bytes(r["piece"]))
+        size += r["size"]
+    yield now
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, item_id: documents that hold at least ``run`` consecutive words of an item.
 
     Whole texts are read. Null or short texts and items leak nothing; a document
-    or item given twice with one id counts once for each of its rows.
+    given twice with one id counts once for each of its rows, an item once.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").filter(F.col("text").isNotNull())
 
-    def query(shipped):
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def query(shipped) -> DataFrame:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for pdf in batches:
-                for k in range(0, len(pdf), BATCH):
-                    ids, texts = pdf.doc_id.iloc[k : k + BATCH].tolist(), [words(t) for t in pdf.text.iloc[k : k + BATCH]]
+            for batch in batches:
+                for k in range(0, batch.num_rows, BATCH):
+                    ids, texts = batch.column("doc_id")[k : k + BATCH].to_pylist(), [words(t) for t in batch.column("text")[k : k + BATCH].to_pylist()]
                     found: dict[tuple[int, int], None] = {}
                     for part in index:
-                        for d, start, item in part.retrieve(texts):
-                            if (d, part.ids[item]) not in found and part.verify(texts[d], start, item):
+                        read = [part.read(t) for t in texts]
+                        for d, start, item in part.retrieve(read):
+                            if (d, part.ids[item]) not in found and part.verify(read[d], start, item):
                                 found[d, part.ids[item]] = None
-                    yield pd.DataFrame({"doc_id": [ids[d] for d, _ in found], "item_id": [i for _, i in found]}, dtype="int64")
-
-        return docs.mapInPandas(scan, "doc_id bigint, item_id bigint")
-
-    out = None
-    for parts in _passes(items, run):
-        one = query(spark.sparkContext.broadcast(parts))
-        out = one if out is None else out.union(one)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _words(text: pd.Series) -> pd.Series:
-    return text.map(words, na_action="ignore")
-
-
-def _passes(items: DataFrame, run: int) -> Iterator[list[Part]]:
-    """The index in lists of at most PASS_PARTS parts, each built from the items of one hash class.
-
-    A set that fits one list is read once. A larger one is cut by the hash of the
-    item, its word counts are made by Spark, and only the counts of a class's own
-    words come to the driver with it.
-    """
-    most = PASS_PARTS * PART_ITEMS
-    read = items.select("item_id", "item_text").filter("item_text is not null")
-    total = read.count()
-    if total <= most:
-        yield build_parts([(r.item_id, words(r.item_text)) for r in read.toLocalIterator()], run)
-        return
-    classes = -(-total // (most // 2))
-    cut = checkpoint(read.select("item_id", _words("item_text").alias("w"), F.pmod(F.xxhash64("item_id"), F.lit(classes)).alias("c")).filter(F.size("w") >= run))
-    whole = cut.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).collect()[0]
-    counts = checkpoint(cut.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
-    for c in range(classes):
-        mine = cut.filter(F.col("c") == c)
-        own = mine.select(F.explode("w").alias("word")).distinct().join(counts, "word")
-        df = {r.word: r.df for r in own.toLocalIterator()}
-        parts = build_parts([(r.item_id, list(r.w)) for r in mine.select("item_id", "w").toLocalIterator()], run, Statistics(whole.n, float(whole["mean"] or 0), df))
-        # a class may be larger than the mean
-        for k in range(0, max(len(parts), 1), PASS_PARTS):
-            yield parts[k : k + PASS_PARTS]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[d] for d, _ in found], pa.int64()), "item_id": pa.array([i for _, i in found], pa.int64())})
+
+        return docs.mapInArrow(scan, "doc_id bigint, item_id bigint")
+
+    out, before = None, None
+    for now in _passes(index_pieces(items, run)):
+        if before is not None:
+            # one pass at a time: its result is written and its index released
+            one = checkpoint(query(before))
+            before.unpersist()
+            out = one if out is None else out.union(one)
+        before = spark.sparkContext.broadcast([pickle.loads(piece) for piece in now])
+    last = query(before)
+    return last if out is None else out.union(last)
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

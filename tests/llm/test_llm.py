@@ -244,22 +244,36 @@ def test_leaks_are_those_of_brute_force(spark, monkeypatch):
     D = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     I = spark.createDataFrame(items, "item_id bigint, item_text string")  # noqa: E741
     assert sorted(map(tuple, leaks.leaks(D, I).collect())) == want and want
-    monkeypatch.setattr(leaks, "PASS_PARTS", 2)
-    monkeypatch.setattr(leaks, "PART_ITEMS", 5)  # 42 items in several passes
+    monkeypatch.setattr(leaks, "PIECE_WORDS", 300)
+    monkeypatch.setattr(leaks, "PASS_BYTES", 20_000)  # several pieces and passes
+    assert leaks.index_pieces(I).count() > 2 and len(list(leaks._passes(leaks.index_pieces(I)))) > 1
     assert sorted(map(tuple, leaks.leaks(D, I).collect())) == want
     assert leaks.leaks(D.limit(0), I).count() == 0 and leaks.leaks(D, I.limit(0)).count() == 0
 
 
-def test_many_parts_find_the_same(monkeypatch):
+def test_wand_finds_all_scores_above_the_thresholds(monkeypatch):
+    """Against scores of all pairs, with blocks of two postings."""
+    monkeypatch.setattr(leaks, "BLOCK", 2)
     rng = random.Random(7)
-    items = [(i, [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(30)) for _ in range(40)]) for i in range(50)]
-    doc = ["z"] * 7 + items[3][1][5:25] + ["y"] + items[44][1][:15]
-    found = set()
-    for size in (7, 256):
-        monkeypatch.setattr(leaks, "PART_ITEMS", size)
-        hits = {p.ids[j] for p in leaks.build_parts(items) for d, s, j in p.retrieve([doc]) if p.verify(doc, s, j)}
-        found.add(frozenset(hits))
-    assert found == {frozenset((3, 44))}
+    vocab = ["the", "of", "and"] * 30 + [f"{a}{i}" for a in "abcdefgh" for i in range(12)]
+    texts = [[rng.choice(vocab) for _ in range(rng.randrange(15, 50))] for _ in range(60)]
+    idf = {w: rng.random() * 5 + 0.01 for t in texts for w in t}
+    index = leaks.Index(list(range(60)), texts, idf, 30.0)
+    order = index.ids
+    docs = [texts[3][2:30] + ["unknown"] * 5 + texts[44][:15], [rng.choice(vocab) for _ in range(300)], ["x"] * 40, texts[9], [], ["the"] * 100]
+    impact = {}
+    for k, i in zip(index.key.tolist(), index.impact.tolist()):
+        impact[divmod(k, 60)] = i
+    want = set()
+    for d, doc in enumerate(docs):
+        for s in range(0, len(doc) - 14, 15):
+            terms = {index.vocab[w] for w in doc[s : s + 30] if w in index.vocab}
+            want |= {(d, s, j) for j in range(60) if sum(impact.get((t, j), 0.0) for t in terms) >= index.least[j]}
+    read = [index.read(doc) for doc in docs]
+    got = list(index.retrieve(read))
+    assert len(got) == len(set(got)) and set(got) == want
+    leaked = {(d, order[j]) for d, s, j in got if index.verify(read[d], s, j)}
+    assert {(0, 3), (0, 44), (3, 9)} <= leaked
 
 
 # --- problem 8
