@@ -10,12 +10,13 @@ costs no more than the current round.
 
 Only aggregated minima (with map-side combine) and equi-joins are used; a code
 or component with a third of all rows is never gathered in one task. Nothing is
-collected but one count for each round, and the few groups too large to be dealt.
+collected but one count for each round and one row for each size band.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from coilworks.llm import residues
 from coilworks.session import checkpoint
 
-DEAL_BUCKETS = 1024  #: hash buckets within a size band, dealt one after another
-LARGE_PART = 20  #: a group above 1/LARGE_PART of the smallest split's share is placed by deficit
+BANDS = 8  #: size bands to a doubling
+BUCKET_GROUPS = 50_000  #: groups in a hash bucket, numbered one after another, on average
 
 
 def vertices(entities: DataFrame) -> DataFrame:
@@ -109,47 +110,54 @@ def forest_edges(entities: DataFrame, links: DataFrame) -> DataFrame:
 def assign_splits(entities: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """ent_row, group_row, group_size, new_split: whole groups in one split, shares close to ``targets``.
 
-    Groups larger than 1/LARGE_PART of the smallest split's rows (at most
-    LARGE_PART / smallest share of them, a proven bound) are placed on the driver,
-    each where most is missing. The others are stratified by size band (powers
-    of two) and dealt systematically: the r-th group of a band takes the point
-    frac(r * golden ratio) on the line of the remaining shares, which every run
-    of groups covers evenly. Ranks come from counts per (band, hash bucket) and a
-    number within the bucket, so no band is sorted as a whole.
+    Groups are stratified by size band (BANDS to a doubling) and dealt
+    systematically, the largest band first: the r-th of a band's n groups takes
+    the point (r - 1/2) / n on the line of what the splits still miss, which the
+    band's own groups then fill. Bands of one group, however large, are dealt the
+    same way. What reaches the driver is one row for each band. Ranks come from
+    counts per (band, hash bucket) and a number within the bucket, so no band is
+    sorted as a whole.
     """
     rows = checkpoint(groups(entities, links))
     units = rows.groupBy("group_row").agg(F.first("group_size").alias("size"))
     shares = [(r[0], float(r[1])) for r in targets.select("data_split", "target_share").filter("target_share > 0").orderBy("data_split").collect()]
     if not shares:
         raise ValueError("no split has a positive share")
-    whole = sum(s for _, s in shares)
-    total = rows.count()
-    missing = {name: share / whole * total for name, share in shares}
-    limit = min(missing.values()) / LARGE_PART
-    large = {}
-    for r in units.filter(F.col("size") > max(limit, 1.0)).orderBy(F.desc("size"), "group_row").collect():
-        name = max(missing, key=lambda k: (missing[k], k))
-        large[r.group_row] = name
-        missing[name] -= r["size"]
-    left = {k: max(v, 0.0) for k, v in missing.items()}
-    rest = sum(left.values()) or 1.0
-    bands = units.filter(F.col("size") <= max(limit, 1.0)).select("group_row", F.floor(F.log2("size")).alias("band"), F.xxhash64("group_row").alias("h")).withColumn("bucket", F.pmod("h", F.lit(DEAL_BUCKETS)))
-    counted = bands.groupBy("band", "bucket").agg(F.count("*").alias("n"))
-    start = counted.selectExpr("band", "bucket", "sum(n) over (partition by band order by bucket) - n as before")
-    placed = bands.selectExpr("*", "row_number() over (partition by band, bucket order by h, group_row) as r").join(start, ["band", "bucket"])
-    point = F.expr("pmod((before + r) * 0.6180339887498949D + band * 0.37D, 1D)")
-    split, upto = None, 0.0
-    for name, _ in shares:
-        upto += left[name] / rest
-        split = F.when(F.col("x") < upto, name) if split is None else split.when(F.col("x") < upto, name)
-    fallback = max(left, key=lambda k: left[k])
-    dealt = placed.withColumn("x", point).select("group_row", split.otherwise(fallback).alias("new_split"))
-    spark = rows.sparkSession
-    if large:
-        dealt = dealt.union(spark.createDataFrame(list(large.items()), "group_row bigint, new_split string"))
+    banded = units.select("group_row", "size", F.floor(F.log2("size") * BANDS).cast("int").alias("band"), F.xxhash64("group_row").alias("h"))
+    # one row a band: sizes are bigint, so there are at most 64 * BANDS
+    totals = {r.band: (r.n, r["rows"]) for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("rows")).collect()}
+    cuts = _deal(totals, shares)
+    buckets = -(-sum(n for n, _ in totals.values()) // BUCKET_GROUPS) or 1
+    banded = banded.drop("size").withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    start = banded.groupBy("band", "bucket").agg(F.count("*").alias("n")).selectExpr("band", "bucket", "sum(n) over (partition by band order by bucket) - n as before")
+    placed = banded.selectExpr("*", "row_number() over (partition by band, bucket order by h, group_row) as r").join(start, ["band", "bucket"])
+    line = rows.sparkSession.createDataFrame(cuts, "band int, lo bigint, hi bigint, new_split string")
+    rank = F.col("before") + F.col("r")
+    dealt = placed.join(F.broadcast(line), "band").filter((rank > F.col("lo")) & (rank <= F.col("hi"))).select("group_row", "new_split")
     return rows.join(dealt, "group_row").select("ent_row", "group_row", "group_size", "new_split")
 
 
+def _deal(totals: dict[int, tuple[int, int]], shares: list[tuple[str, float]]) -> list[tuple[int, int, int, str]]:
+    """(band, lo, hi, split): ranks lo < r <= hi of a band go to the split; ``totals`` has each band's groups and rows."""
+    whole = sum(s for _, s in shares)
+    missing = {name: share / whole * sum(r for _, r in totals.values()) for name, share in shares}
+    out = []
+    for band in sorted(totals, reverse=True):
+        n, size = totals[band]
+        order = sorted(missing, key=lambda k: (-missing[k], k))
+        wanted = {k: max(missing[k], 0.0) for k in order}
+        line, upto, lo = sum(wanted.values()) or 1.0, 0.0, 0
+        for i, k in enumerate(order):
+            upto += wanted[k]
+            # the points (r - 1/2) / n up to this split's end
+            hi = n if i == len(order) - 1 else min(n, max(lo, math.floor(upto / line * n + 0.5)))
+            if hi > lo:
+                out.append((band, lo, hi, k))
+                missing[k] -= (hi - lo) * size / n
+            lo = hi
+    return out
+
+
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """data_split, target_share, rows, share: what was reached."""
     got = assigned.groupBy("new_split").agg(F.count("*").alias("rows"))

@@ -145,6 +145,25 @@ def test_shares_are_met_with_skewed_groups(spark):
     assert abs(got["train"] - 0.8) < 0.03 and abs(got["val"] - 0.1) < 0.03 and abs(got["test"] - 0.1) < 0.03
 
 
+@pytest.mark.parametrize("sizes", [[500, 200, 100] + [1] * 1200, [7] * 40, [1000], [2**k for k in range(11)], list(range(1, 90))])
+def test_dealing_by_bands(sizes):
+    """Each band goes whole, and shares miss their targets by no more than the groups force."""
+    import math
+
+    shares = [("test", 0.1), ("train", 0.8), ("val", 0.1)]
+    totals = {}
+    for s in sizes:
+        n, r = totals.get(math.floor(math.log2(s) * grouping.BANDS), (0, 0))
+        totals[math.floor(math.log2(s) * grouping.BANDS)] = (n + 1, r + s)
+    got = {k: 0.0 for k, _ in shares}
+    for band, (n, r) in totals.items():
+        cuts = sorted((lo, hi, k) for b, lo, hi, k in grouping._deal(totals, shares) if b == band)
+        assert cuts[0][0] == 0 and cuts[-1][1] == n and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
+        for lo, hi, k in cuts:
+            got[k] += (hi - lo) * r / n
+    assert all(abs(got[k] / sum(sizes) - s) <= max(0.02, max(sizes) / sum(sizes)) for k, s in shares)
+
+
 def test_accessions(spark):
     df = spark.createDataFrame([("UNP: q0i3 ",), ("gb|YA1.2",), ("pdb_00a",), ("to be assigned",), ("-",), (None,), ("Q0 I3",)], "c string")
     assert [r[0] for r in df.select(residues.accession(F.col("c"))).collect()] == ["Q0I3", "YA1", "PDB_00A", None, None, None, "Q0I3"]
