@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import math
+import os
 from dataclasses import fields
 
 from coilworks.params import FORMATS, PRESETS, SCORE_TYPES, Filters, filters
@@ -19,10 +21,14 @@ def _flag(text: str) -> bool:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.ArgumentDefaultsHelpFormatter)
-    p.add_argument("--input-dir", required=True)
-    p.add_argument("--output", required=True)
-    p.add_argument("--output-format", choices=FORMATS, default="csv")
-    p.add_argument("--file-pattern", default=r"bmr(\d+)_3\.str")
+    p.add_argument("--input-dir", "-d", default=".", help="folder of deposition files, or of folders of them")
+    p.add_argument("--output-prefix", "--output", dest="output", default="./dataset", help="folder the parts are written to; the format is added to its name")
+    p.add_argument("--output-format", choices=FORMATS, default="csv", help="long rows or one peptide a line")
+    p.add_argument("--cache-dir", help="shared folder whose finished stages a later run reuses")
+    p.add_argument("--BMRB-file-pattern", "--file-pattern", dest="file_pattern", default=r"bmr(\d+)_3\.str", help="regular expression of file names; its first group is the entry id")
+    p.add_argument("--processes", type=int, default=8, help="cores of a local session; a cluster's own settings win")
+    p.add_argument("--progress", action=argparse.BooleanOptionalAction, default=True, help="progress of the stages on the console")
+    p.add_argument("--debug", action="store_true", help="log every step")
     p.add_argument("--coil-tables", help="folder of neighbour.csv and combination.csv")
     p.add_argument("--filter-defaults", choices=sorted(PRESETS), default="tolerant")
     p.add_argument("--score-types", nargs="+", choices=SCORE_TYPES, default=list(SCORE_TYPES))
@@ -55,6 +61,13 @@ def options(argv: list[str] | None = None) -> tuple[argparse.Namespace, Filters]
     return args, filters(args.filter_defaults, **given)
 
 
+def _submitted() -> bool:
+    """Whether a launcher has chosen the master already."""
+    from pyspark import SparkContext
+
+    return SparkContext._active_spark_context is not None or "PYSPARK_GATEWAY_PORT" in os.environ
+
+
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
@@ -62,8 +75,15 @@ def main(argv: list[str] | None = None) -> None:
     from coilworks.plans import dataset
 
     args, f = options(argv)
-    spark = SparkSession.builder.appName("coilworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    report = dataset.run(spark, args.input_dir, args.output, f, args.output_format, args.file_pattern, load_tables(args.coil_tables), args.offset_correction, args.precision, tuple(args.score_types), args.include_shifts, not args.no_shift_averaging)
+    logging.basicConfig(level=logging.DEBUG if args.debug else logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
+    logging.info("options: %s", vars(args))
+    builder = SparkSession.builder.appName("coilworks").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", str(args.progress).lower())
+    if "SPARK_MASTER" not in os.environ and "MASTER" not in os.environ and not _submitted():
+        builder = builder.master(f"local[{args.processes}]")
+    spark = builder.getOrCreate()
+    out = f"{args.output}.{args.output_format}"
+    report = dataset.run(spark, args.input_dir, out, f, args.output_format, args.file_pattern, load_tables(args.coil_tables), args.offset_correction, args.precision, tuple(args.score_types), args.include_shifts, not args.no_shift_averaging, args.cache_dir)
     report.show(200, truncate=False)
 
 

@@ -4,8 +4,9 @@ The centre, terminus, temperature and pH tables are fixed values of the publishe
 predictor. The neighbour table (560 values) and the pair table (247 rows) are
 parameters: CSV files ``neighbour.csv`` (atom, aa, p2, p1, m1, m2) and
 ``combination.csv`` (atom, neipos, centre, neighbour, value) in the folder that
-COILWORKS_COIL_TABLES or the caller names. Without them ``rule_tables`` gives
-tables made by a rule, for tests and the registered queries.
+COILWORKS_COIL_TABLES or the caller names. Without them ``load_tables`` stops with
+an error; ``rule_tables`` gives tables made by a rule, which only the tests and
+the registered queries use.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from typing import NamedTuple
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 THREE_TO_ONE = dict(zip("ALA CYS ASP GLU PHE GLY HIS ILE LYS LEU MET ASN PRO GLN ARG SER THR VAL TRP TYR".split(), AMINO_ACIDS, strict=True))
 ATOMS = ("C", "CA", "CB", "N", "H", "HA", "HB")
+PAIR_ROWS = 247  #: rows of the pair table
 OFFSETS = (2, 1, -1, -2)  #: place of the neighbour in the columns of the neighbour table
 
 # fixed values: shift of the centre residue by atom
@@ -202,4 +204,8 @@ def load_tables(folder: str | None = None) -> CoilTables:
         rows = [((r["atom"], int(r["neipos"]), r["centre"], r["neighbour"]), float(r["value"])) for r in csv.DictReader(f)]
     if len({k for k, _ in rows}) != len(rows):
         raise ValueError("combination.csv has repeated keys")
+    if set(nei) != {(a, aa, o) for a in ATOMS for aa in AMINO_ACIDS for o in OFFSETS}:
+        raise ValueError(f"neighbour.csv needs one row for each of {len(ATOMS)} atoms and {len(AMINO_ACIDS)} residues")
+    if len(rows) != PAIR_ROWS or any(a not in ATOMS or o not in OFFSETS or not {x, y} <= set("GPra+-p") for (a, o, x, y), _ in rows):
+        raise ValueError(f"combination.csv needs {PAIR_ROWS} rows of known atoms, places and classes")
     return CoilTables(nei, dict(rows))

@@ -13,9 +13,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coilworks.functions.chi import ATOMS
+from coilworks.functions.coil_tables import AMINO_ACIDS
 from coilworks.params import Filters
 
-CANONICAL = "ARNDCQEGHILKMFPSTYWVX"
+CANONICAL = f"{AMINO_ACIDS}X"
 
 
 def any_term(text: Column, terms: tuple[str, ...]) -> Column:
@@ -104,11 +106,19 @@ def prefilter(peptides: DataFrame, f: Filters) -> DataFrame:
 
 def postfilter(peptides: DataFrame, f: Filters) -> DataFrame:
     """Adds pass_post from types_post, positions_post, failed (no scores) and, if offsets may not be lost, lost_offsets."""
+    return peptides.withColumn("pass_post", F.col("pass_pre") & F.coalesce(reduce(and_, post_criteria(f).values()), F.lit(False)))
+
+
+def post_criteria(f: Filters) -> dict[str, Column]:
+    """Name and test of each post-filter criterion."""
     c = F.col
-    tests = [c("types_post") >= f.min_backbone_shift_types, c("positions_post") >= f.min_backbone_shift_positions, F.try_divide(c("positions_post").cast("double"), F.length("seq").cast("double")) >= f.min_backbone_shift_fraction, ~c("failed")]
-    if not f.reject_shift_type_only:
-        tests.append(c("lost_offsets") == 0)
-    return peptides.withColumn("pass_post", c("pass_pre") & F.coalesce(reduce(and_, tests), F.lit(False)))
+    tests = {
+        "shift_types": c("types_post") >= f.min_backbone_shift_types,
+        "shift_positions": c("positions_post") >= f.min_backbone_shift_positions,
+        "shift_fraction": F.try_divide(c("positions_post").cast("double"), F.length("seq").cast("double")) >= f.min_backbone_shift_fraction,
+        "computation": ~c("failed"),
+    }
+    return tests if f.reject_shift_type_only else tests | {"any_offset": c("lost_offsets") == 0}
 
 
 def losses(peptides: DataFrame, f: Filters) -> DataFrame:
@@ -117,7 +127,10 @@ def losses(peptides: DataFrame, f: Filters) -> DataFrame:
     A row with an unknown test counts for the tests that are known, and not as
     failing "only" one. One pass: the tests are evaluated once for each row.
     """
-    tests = criteria(f)
+    return _lost(peptides, criteria(f))
+
+
+def _lost(peptides: DataFrame, tests: dict[str, Column]) -> DataFrame:
     names = list(tests)
     flagged = peptides.select(F.array(*[tests[n] for n in names]).alias("t"))
     failing = F.size(F.filter("t", lambda x: ~x))
@@ -129,3 +142,23 @@ def losses(peptides: DataFrame, f: Filters) -> DataFrame:
     one = flagged.agg(*aggs)
     rows = [F.struct(F.lit(n).alias("criterion"), F.col(f"a{i}").alias("filtered"), F.col(f"b{i}").alias("only_filtered"), (100 * F.coalesce(F.try_divide(F.col(f"a{i}").cast("double"), F.col("rows").cast("double")), F.lit(0.0))).alias("percent")) for i, n in enumerate(names)]
     return one.select(F.inline(F.array(*rows)))
+
+
+def report(peptides: DataFrame, f: Filters) -> DataFrame:
+    """stage, criterion, filtered, only_filtered, percent: the whole loss report.
+
+    Stages: pre (each criterion over all peptides), offset (atoms rejected, over
+    those that pass the pre-filter), post (each criterion over the same), total
+    (what the pre-filter and the post-filter take away, and what remains for the
+    scores and in the dataset). ``peptides`` has pass_pre, pass_post, off_<atom>
+    and the columns of both filters; of no peptide every percentage is 0.
+    """
+    passing = peptides.filter("pass_pre")
+    offsets = {a: F.col(f"off_{a}").isNotNull() for a in ATOMS}
+    parts = [_lost(rows, tests).withColumn("stage", F.lit(name)) for name, rows, tests in (("pre", peptides, criteria(f)), ("offset", passing, offsets), ("post", passing, post_criteria(f)))]
+    one = peptides.agg(F.count("*").alias("all"), F.count_if("pass_pre").alias("pre"), F.count_if("pass_post").alias("post"))
+    rows = []
+    for name, n, of in (("filtered_pre", F.col("all") - F.col("pre"), "all"), ("remaining_for_scores", F.col("pre"), "all"), ("filtered_post", F.col("pre") - F.col("post"), "pre"), ("final_dataset", F.col("post"), "all")):
+        rows.append(F.struct(F.lit(name).alias("criterion"), n.alias("filtered"), F.lit(None).cast("bigint").alias("only_filtered"), (100 * F.coalesce(F.try_divide(n.cast("double"), F.col(of).cast("double")), F.lit(0.0))).alias("percent")))
+    parts.append(one.select(F.inline(F.array(*rows))).withColumn("stage", F.lit("total")))
+    return reduce(DataFrame.unionByName, parts).select("stage", "criterion", "filtered", "only_filtered", "percent")

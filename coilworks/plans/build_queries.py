@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coilworks.functions import coil_tables as ct
 from coilworks.functions.chi import hill, rounded
 from coilworks.operators import coil, conditions, filters, peptides, pka, shifts
 from coilworks.params import PRESETS
+from coilworks.params import filters as filters_of
 from coilworks.session import fan_out, table
+from coilworks.session import spread as fan_out_rows
 from coilworks.sources import star
 
 RULES = ct.rule_tables()
@@ -55,7 +58,7 @@ def keyword_hits(spark, d):
 
 def denaturant_hits(spark, d):
     terms = PRESETS["strict"].chemical_denaturants
-    rows = table(spark, d, "filter_defaults").select("preset_row", F.explode("chemical_denaturants").alias("name"))
+    rows = table(spark, d, "filter_defaults").select("preset_row", F.explode_outer("chemical_denaturants").alias("name"))
     hit = F.coalesce(F.size(F.map_filter(filters.hits([F.col("name")], terms), lambda k, v: v)), F.lit(0))
     return rows.groupBy("preset_row").agg(F.sum(hit).cast("bigint").alias("hits"))
 
@@ -90,11 +93,12 @@ def shift_coverage(spark, d):
 
 
 def _filter_bridge(spark, d):
-    """Peptides with their coverage, the entry's method and texts, and conditions of its first list."""
+    """Peptides with their coverage, the entry's method and texts, and conditions of its first list (by its id)."""
     cov = shifts.coverage(_checked(spark, d))
     last = F.max(F.struct("received_at", "entry_row", "exp_method", "exp_method_subtype", "title", "citation_title")).alias("s")
     entry = table(spark, d, "star_entries").groupBy("entry_id").agg(last).select("entry_id", F.nullif("s.exp_method", F.lit("")).alias("exp_method"), F.nullif("s.exp_method_subtype", F.lit("")).alias("exp_method_subtype"), "s.title", "s.citation_title")
-    cond = _conditions(spark, d).filter("cond_list_id = '1'").select("entry_id", conditions.temperature(F.col("temperature_val"), F.col("temperature_unit")).alias("temperature"), conditions.ionic_strength(F.col("ionic_strength_val"), F.col("ionic_strength_unit")).alias("ionic_strength"), conditions.ph(F.col("ph_val")).alias("ph"))
+    first = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.col("cond_list_id").asc_nulls_last()))
+    cond = _conditions(spark, d).withColumn("_first", first).filter("_first = 1").select("entry_id", conditions.temperature(F.col("temperature_val"), F.col("temperature_unit")).alias("temperature"), conditions.ionic_strength(F.col("ionic_strength_val"), F.col("ionic_strength_unit")).alias("ionic_strength"), conditions.ph(F.col("ph_val")).alias("ph"))
     seqs = shifts.latest_entities(table(spark, d, "entities")).select("entry_id", "entity_id", "seq", "details")
     f = PRESETS["moderate"]
     rows = cov.join(entry, "entry_id", "left").join(cond, "entry_id", "left").join(seqs, ["entry_id", "entity_id"])
@@ -215,12 +219,54 @@ def peptide_key_resolution(spark, d):
     return rows.select(*shifts.PEPTIDE, F.size("shifts").cast("bigint").alias("n_rows"))
 
 
+def _sample_texts(spark, d):
+    """One file text for each chain and conditions list of an entry, with quotes, blanks and blocks, samples and experiments.
+
+    By the number of the shift table: every fifth names its sample itself, the
+    others through their experiment; of every thirteenth that sample is unknown;
+    every fourth sample holds urea, and in every eighth that is an entity.
+    """
+    chains = table(spark, d, "atom_shifts").groupBy(*shifts.PEPTIDE).agg(F.count("*").cast("int").alias("rows"))
+    lists = table(spark, d, "sample_conditions").filter("cond_list_id is not null").groupBy("entry_id").agg(F.min("cond_list_id").alias("list"))
+    variables = table(spark, d, "sample_conditions").join(lists, "entry_id").filter("cond_list_id = list and val is not null and not contains(val, '\n')")
+    block = lambda c: F.concat(F.lit("\n;\n"), F.coalesce(c, F.lit(".")), F.lit("\n;\n"))
+    lines = variables.select("entry_id", "cond_row", F.concat_ws(" ", block(F.col("var_type")), block(F.col("val")), block(F.col("val_units"))).alias("line"))
+    conditions_of = lines.groupBy("entry_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("cond_row", "line"))), lambda x: x["line"])).alias("variables"))
+    titles = table(spark, d, "star_entries").groupBy("entry_id").agg(F.max_by("title", F.struct("received_at", "entry_row")).alias("title"))
+    rows = chains.join(lists, "entry_id").join(conditions_of, "entry_id").join(titles, "entry_id")
+    n = F.col("st_id").cast("int")
+    frame = lambda name, category, *parts: [F.lit(f"save_{name}\n_X.Sf_category {category}\n"), *parts, F.lit("\nsave_\n")]
+    loop = lambda category, tags: F.lit("loop_\n" + "\n".join(f"_{category}.{x}" for x in tags) + "\n")
+    stop = F.lit("\nstop_")
+    sample = F.when(n % 13 == 0, "7").otherwise("1")
+    text = F.concat(
+        F.lit("data_x\n"),
+        *frame("i", "entry_information", F.lit("_Entry.Title"), block(F.regexp_replace("title", "\n", " "))),
+        *frame("a", "assembly", F.lit("_Assembly.ID 1\n"), loop("Entity_assembly", ("ID", "Entity_ID", "Entity_label", "Physical_state")), F.concat_ws(" ", "entity_assem_id", "entity_id", F.lit("$x 'native state'")), stop),
+        *frame("e", "entity", F.lit("_Entity.Type polymer\n_Entity.Polymer_type polypeptide(L)\n_Entity.ID "), F.col("entity_id")),
+        *frame("p", "sample", F.lit("_Sample.ID 1\n_Sample.Name 'it''s a sample'\n"), loop("Sample_component", ("ID", "Assembly_ID", "Entity_ID", "Mol_common_name", "Concentration_val", "Concentration_val_units")), F.lit("1 . "), F.when(n % 8 == 0, "1").otherwise("."), F.when(n % 4 == 0, " 'deuterated urea'").otherwise(' "glycerol"'), F.lit(" 8 M"), stop),
+        *frame("c", "sample_conditions", F.lit("_Sample_condition_list.ID '"), F.col("list"), F.lit("'\n"), loop("Sample_condition_variable", ("Type", "Val", "Val_units")), F.col("variables"), stop),
+        *frame("x", "experiment_list", loop("Experiment", ("ID", "Name", "Sample_ID")), F.lit('1 "1H-15N HSQC" '), sample, stop),
+        *frame("s", "assigned_chemical_shifts", F.lit("_L.ID "), F.col("st_id"), F.lit("\n_L.Sample_condition_list_ID '"), F.col("list"), F.lit("'\n"), loop("Chem_shift_experiment", ("Experiment_ID", "Sample_ID")), F.lit("1 "), F.when(n % 5 == 0, "1").otherwise("."), stop,
+               F.lit("\n"), loop("Atom_chem_shift", ("Entity_assembly_ID", "Entity_ID", "Seq_ID", "Comp_ID", "Atom_ID", "Atom_type", "Val", "Val_err", "Ambiguity_code")), F.concat_ws(" ", "entity_assem_id", "entity_id", F.lit("1 MET CA C 55.0 . 1")), stop),
+    )
+    return fan_out_rows(rows.select("entry_id", text.alias("text")))
+
+
+def peptide_samples(spark, d):
+    """Samples, chemicals, conditions and title words of each chain after a round trip through the file format."""
+    f = PRESETS["strict"]
+    rows = peptides.peptides(star.parse(_sample_texts(spark, d)), filters_of("tolerant", chemical_denaturants=("urea", "glycerol"), keywords_blacklist=("structure", "disorder"), default_conditions=f.default_conditions))
+    hit = lambda m, t: F.element_at(m, t)
+    return rows.select(*shifts.PEPTIDE, hit("denat_hits", "urea").alias("urea"), hit("denat_hits", "glycerol").alias("glycerol"), hit("kw_hits", "structure").alias("structure"), hit("kw_hits", "disorder").alias("disorder"), F.round("temperature", 6).alias("temperature"), F.round("ionic_strength", 6).alias("ionic_strength"), "ph")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         condition_temperature, condition_ionic, condition_ph, sequence_fractions, method_filter, keyword_hits, denaturant_hits, latest_entity, shift_tests, shift_cells, shift_rejects, shift_averages, shift_coverage,
         prefilter_flags, filter_losses, postfilter_flags, pentamer_context, residue_classes, neighbour_correction, pair_combination, temperature_correction, predicted_shifts_ph7, hill_fraction, ph_shift_fixed_pka,
-        predicted_shifts_fixed_pka, pka_titration, predicted_shifts, shifty_table, star_parse, peptide_key_resolution,
+        predicted_shifts_fixed_pka, pka_titration, predicted_shifts, shifty_table, star_parse, peptide_key_resolution, peptide_samples,
     )
 }
 
@@ -314,7 +360,7 @@ _CRIT = {
 FILTERED = (
     f"WITH {ROWS},{COND},"
     "en AS (SELECT entry_id, nullif(exp_method,'') AS exp_method, nullif(exp_method_subtype,'') AS exp_method_subtype, title, citation_title FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY received_at DESC NULLS LAST, entry_row DESC) AS rn FROM star_entries) WHERE rn=1),"
-    f"co AS (SELECT entry_id, {_sql_temperature(True, True, True)} AS temperature, {_sql_ionic(True, True, True)} AS ionic_strength, coalesce(ph_n,7e0) AS ph FROM cn WHERE cond_list_id='1'),"
+    f"co AS (SELECT entry_id, {_sql_temperature(True, True, True)} AS temperature, {_sql_ionic(True, True, True)} AS ionic_strength, coalesce(ph_n,7e0) AS ph FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY cond_list_id NULLS LAST) AS rn FROM cn) WHERE rn=1),"
     f"pep AS (SELECT cov.*, exp_method, exp_method_subtype, title, citation_title, temperature, ionic_strength, ph, le.seq, le.details FROM cov LEFT JOIN en USING (entry_id) LEFT JOIN co USING (entry_id) JOIN le ON cov.entry_id=le.entry_id AND cov.entity_id=le.entity_id),"
     "fl AS (SELECT *, " + ", ".join(f"{c} AS c{i}" for i, c in enumerate(_CRIT.values())) + " FROM pep),"
     "pf AS (SELECT *, coalesce(exp_method IS NOT NULL AND temperature IS NOT NULL AND ionic_strength IS NOT NULL AND ph IS NOT NULL AND seq IS NOT NULL AND total IS NOT NULL AND " + " AND ".join(f"c{i}" for i in range(len(_CRIT))) + ",false) AS pass_pre FROM fl)"
@@ -392,7 +438,7 @@ SQL = {
     "sequence_fractions": f"WITH q AS (SELECT ent_row, {_SEQ} AS s FROM entities WHERE polymer_type='polypeptide(L)') SELECT ent_row, length(s) AS n, round({_NONCANON.format(s='s')},6) AS noncanonical, round({_XPART.format(s='s')},6) AS x_part, coalesce(length(s) BETWEEN 15 AND 200,false) AS length_ok FROM q",
     "method_filter": "SELECT entry_row, " + ", ".join(f"coalesce({_sql_method(f)},false) AS {n}" for n, f in PRESETS.items()) + " FROM star_entries",
     "keyword_hits": "SELECT entry_row, " + ", ".join(f"{_has(['title', 'citation_title'], t)} AS hit_{i}" for i, t in enumerate(("disorder", "solution", "α-helix"))) + " FROM star_entries",
-    "denaturant_hits": "WITH q AS (SELECT preset_row, unnest(chemical_denaturants) AS name FROM filter_defaults) SELECT preset_row, CAST(sum(" + "+".join(f"CAST({_has(['name'], t)} AS INT)" for t in _DEN) + ") AS BIGINT) AS hits FROM q GROUP BY preset_row",
+    "denaturant_hits": "WITH q AS (SELECT preset_row, unnest(CASE WHEN len(chemical_denaturants)>0 THEN chemical_denaturants ELSE [NULL] END) AS name FROM filter_defaults) SELECT preset_row, CAST(sum(" + "+".join(f"CAST({_has(['name'], t)} AS INT)" for t in _DEN) + ") AS BIGINT) AS hits FROM q GROUP BY preset_row",
     "latest_entity": f"WITH {ENT} SELECT entry_id, entity_id, entity_type, polymer_type, seq FROM le",
     "shift_tests": f"WITH {ROWS} SELECT {_KEY}, count(*) AS n_rows, " + ", ".join(f"count(*) FILTER (WHERE {n}) AS {n}" for n in ("bad_pos", "beyond", "mismatch", "bad_value", "kept", "bad_name")) + f" FROM r2 GROUP BY {_KEY}",
     "shift_cells": f"WITH {ROWS} SELECT {_KEY}, pos, atom_id, n, conflict FROM cell WHERE pos IS NOT NULL",
@@ -411,4 +457,13 @@ SQL = {
     "hill_fraction": f"WITH {_SQ},{_SITES} SELECT ent_row, pos, aa, round({_sql_hill('ph')},6) AS protonated FROM st",
     "ph_shift_fixed_pka": f"WITH {_SQ},{_TERMS} SELECT ent_row, pos, atom, round(term,6) AS term FROM tm",
     "predicted_shifts_fixed_pka": f"WITH {_PRED},{_TERMS} SELECT ps.ent_row, ps.pos, aa, ps.atom, round(shift-CASE WHEN ph<>7 AND abs(term)<9.9e0 THEN term ELSE 0e0 END,7) AS shift FROM ps JOIN (SELECT ent_row, ph FROM sq) q ON ps.ent_row=q.ent_row LEFT JOIN tm ON ps.ent_row=tm.ent_row AND ps.pos=tm.pos AND ps.atom=tm.atom",
+    "peptide_samples": f"WITH li AS (SELECT entry_id, min(cond_list_id) AS list FROM sample_conditions WHERE cond_list_id IS NOT NULL GROUP BY entry_id),"
+    "va AS (SELECT c.*, lower(trim(var_type)) AS lt FROM sample_conditions c JOIN li USING (entry_id) WHERE cond_list_id=list AND val IS NOT NULL AND NOT contains(val, chr(10))),"
+    "cv AS (SELECT *, CASE WHEN lower(var_type) LIKE '%ionic strength%' THEN 'ionic_strength' WHEN lower(var_type)='ph' THEN 'ph' WHEN lower(var_type)='pressure' THEN 'pressure' WHEN lower(var_type) LIKE '%temp%' THEN 'temperature' END AS v FROM va),"
+    "cl AS (SELECT entry_id, " + ", ".join(f"arg_max(CASE WHEN {c}='.' THEN '' ELSE coalesce({c},'') END, cond_row) FILTER (WHERE v='{v}') AS {v}_{n}" for v in _VARS for c, n in (("val", "val"), ("val_units", "unit"))) + " FROM cv GROUP BY entry_id),"
+    "cn AS (SELECT *, " + ", ".join(f"{_num(f'{v}_val')} AS {v}_n" for v in _VARS) + " FROM cl),"
+    "ti AS (SELECT entry_id, arg_max(title, (received_at, entry_row)) AS title FROM star_entries GROUP BY entry_id),"
+    f"ch AS (SELECT DISTINCT {_KEY} FROM atom_shifts)"
+    f" SELECT {_KEY}, CAST(st_id AS INT)%4=0 AND CAST(st_id AS INT)%8<>0 AS urea, CAST(st_id AS INT)%4<>0 AS glycerol, {_has(['title'], 'structure')} AS structure, {_has(['title'], 'disorder')} AS disorder,"
+    f" round({_sql_temperature(True, True, False)},6) AS temperature, round({_sql_ionic(True, True, False)},6) AS ionic_strength, ph_n AS ph FROM ch JOIN cn USING (entry_id) JOIN ti USING (entry_id) WHERE CAST(st_id AS INT)%13<>0 OR CAST(st_id AS INT)%5=0",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +14,20 @@ from coilworks.functions.chi import ATOMS, WEIGHTS, rounded
 from coilworks.functions.coil_tables import CoilTables
 from coilworks.operators import coil, filters, peptides, scoring, shifts
 from coilworks.params import FORMATS, SCORE_TYPES, Filters
-from coilworks.session import checkpoint
+from coilworks.session import stage
 from coilworks.sources import star
 
 
+LOG = logging.getLogger("coilworks.dataset")
+
+# fixed values: column names of the published files
+PUBLISHED = {
+    "id": "ID", "entry_id": "entryID", "st_id": "stID", "entity_assem_id": "entity_assemID", "entity_id": "entityID", "citation_doi": "citation_DOI", "ph": "pH",
+    "positions_post": "bbshift_positions_post", "types_post": "bbshift_types_post", "total": "total_bbshifts",
+}
+ATOM_ORDER = ("C", "CA", "CB", "H", "HA", "HB", "N")  #: of the offsets in the published files
+
+
 class Dataset(NamedTuple):
     peptides: DataFrame  #: all peptides with pass_pre and pass_post
     nested: DataFrame  #: the passing ones with their arrays
@@ -36,14 +49,20 @@ def comparisons(passing: DataFrame, tests: DataFrame, tables: CoilTables | None)
     return grid.join(wide, ["pep", "pos"], "left").withColumn("leak", F.coalesce("leak", F.lit(0)))
 
 
-def build(entries: DataFrame, f: Filters, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4) -> Dataset:
-    """Filtered and scored peptides of parsed entries. Without entries, or if nothing passes, the results are empty."""
-    rows = checkpoint(peptides.peptides(entries, f))
-    tests = checkpoint(peptides.checked(rows))
-    flagged = checkpoint(peptides.with_coverage(rows, tests, f))
+def build(entries: DataFrame, f: Filters, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4, folder: str | None = None, key: object = None) -> Dataset:
+    """Filtered and scored peptides of parsed entries. Without entries, or if nothing passes, the results are empty.
+
+    Peptides carry ``reason``: why one has no place in the dataset, or null. With
+    a ``folder`` the stages are kept there under ``key`` (what the entries are)
+    and every option they depend on, and reused by a later run.
+    """
+    written = lambda name, make, *options: stage(folder, name, (key, name, f, *options), make)
+    rows = written("peptides", lambda: peptides.peptides(entries, f))
+    tests = written("shifts", lambda: peptides.checked(rows))
+    flagged = written("flagged", lambda: peptides.with_coverage(rows, tests, f))
     passing = flagged.filter("pass_pre")
     max_offset = None if f.max_offset == float("inf") else f.max_offset
-    scored = checkpoint(scoring.corrected(comparisons(passing, tests, tables), max_offset, f.reject_shift_type_only, offset_correction))
+    scored = written("scores", lambda: scoring.corrected(comparisons(passing, tests, tables), max_offset, f.reject_shift_type_only, offset_correction), tables, offset_correction)
     cells = [F.col(f"x{j}").isNotNull() for j in range(len(ATOMS))]
     seen = F.greatest(*[c.cast("int") for c in cells])
     kinds = [F.max(c.cast("int")) for c in cells]
@@ -55,7 +74,9 @@ def build(entries: DataFrame, f: Filters, tables: CoilTables | None = None, offs
     by = by.withColumn("lost_offsets", sum([F.col(f"off_{a}").isNull().cast("int") for a in ATOMS[1:]], F.col(f"off_{ATOMS[0]}").isNull().cast("int")))
     joined = flagged.withColumn("pep", F.concat_ws("_", *shifts.PEPTIDE)).join(by, "pep", "left").withColumn("failed", F.coalesce("failed", F.lit(True)))
     done = filters.postfilter(joined, f)
-    fields = ["exp_method", "exp_method_subtype", "citation_doi", "citation_title", "ionic_strength", "ph", "temperature", *[f"off_{a}" for a in ATOMS], "positions_post", "types_post", "total", "seq"]
+    reasons = (("shifts rejected", F.col("total").isNull()), ("pre-filter", ~F.col("pass_pre")), ("no scores", F.col("failed")), ("post-filter", ~F.col("pass_post")))
+    done = done.withColumn("reason", F.coalesce(*[F.when(test, text) for text, test in reasons]))
+    fields = ["exp_method", "exp_method_subtype", "citation_doi", "citation_title", "ionic_strength", "ph", "temperature", *[f"off_{a}" for a in ATOM_ORDER], "positions_post", "types_post", "total", "seq"]
     nested = done.filter("pass_post").select(F.col("pep").alias("id"), *shifts.PEPTIDE, "entity_name", *fields, F.col("_r.k").alias("k"), F.col("_r.z").alias("zscores"), F.col("_r.p").alias("pscores"))
     return Dataset(done.drop("_r"), nested, entries.filter("error is not null").select("entry_id", "error"), tests)
 
@@ -81,26 +102,44 @@ def long_rows(nested: DataFrame, score_types: tuple[str, ...] = SCORE_TYPES) ->
     """One row a residue of the passing peptides, scores in the order asked for, then the shifts if there are any."""
     check_scores(score_types)
     more = [*score_types, *[c for c in nested.columns if c.startswith("shift_")]]
+    # zipping would pad unequal arrays with nulls
+    same = reduce(and_, [F.size(c) == F.length("seq") for c in ("k", *more)])
+    nested = nested.withColumn("k", F.when(same, F.col("k")).otherwise(F.raise_error(F.concat(F.lit("arrays of unequal length in "), "id")).cast("array<int>")))
     rows = nested.select("id", *shifts.PEPTIDE, "entity_name", F.posexplode(F.arrays_zip(F.split("seq", "").alias("seq"), "k", *more)).alias("_p", "_e"))
     return rows.select("id", *shifts.PEPTIDE, "entity_name", (F.col("_p") + 1).alias("seq_index"), "_e.seq", "_e.k", *[f"_e.{s}" for s in more])
 
 
+def published(df: DataFrame) -> DataFrame:
+    """Columns under the names of the published files; shift arrays are named by their atom."""
+    return df.withColumnsRenamed(PUBLISHED | {c: c.removeprefix("shift_") for c in df.columns if c.startswith("shift_")})
+
+
 def check_scores(score_types: tuple[str, ...]) -> None:
     if wrong := [s for s in score_types if s not in SCORE_TYPES]:
         raise ValueError(f"unknown score types {wrong}: {', '.join(SCORE_TYPES)}")
 
 
-def run(spark: SparkSession, folder: str, out: str, f: Filters, kind: str = "csv", pattern: str = star.FILE_PATTERN, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4, score_types: tuple[str, ...] = SCORE_TYPES, include_shifts: bool = False, averaging: bool = True) -> DataFrame:
-    """Builds the dataset of a folder, writes it to ``out`` and returns the loss report."""
+def run(spark: SparkSession, folder: str, out: str, f: Filters, kind: str = "csv", pattern: str = star.FILE_PATTERN, tables: CoilTables | None = None, offset_correction: bool = True, precision: int = 4, score_types: tuple[str, ...] = SCORE_TYPES, include_shifts: bool = False, averaging: bool = True, cache: str | None = None) -> DataFrame:
+    """Builds the dataset of a folder, writes it to ``out`` and returns the loss report.
+
+    With ``cache`` parsed entries and all stages are kept there, keyed by the
+    files (paths, sizes, times) and every option, so that a second run reuses
+    what it can and no stale result.
+    """
     if kind not in FORMATS:
         raise ValueError(f"unknown output format {kind!r}: {', '.join(FORMATS)}")
     check_scores(score_types)
-    entries = checkpoint(star.read_entries(spark, folder, pattern))
-    got = build(entries, f, tables, offset_correction, precision)
+    key = star.fingerprint(spark, folder, pattern) if cache else None
+    entries = stage(cache, "entries", key, lambda: star.read_entries(spark, folder, pattern))
+    LOG.info("entries read from %s", folder)
+    got = build(entries, f, tables, offset_correction, precision, cache, key)
+    for r in got.failed.groupBy("error").count().orderBy(F.desc("count")).limit(20).toLocalIterator():
+        LOG.warning("%d entries rejected: %s", r["count"], r["error"])
     nested = with_shifts(got.nested, got.tests, averaging) if include_shifts else got.nested
     if kind == "csv":
-        long_rows(nested, score_types).write.mode("overwrite").option("header", True).csv(out)
+        published(long_rows(nested, score_types)).write.mode("overwrite").option("header", True).csv(out)
     else:
         drop = [s for s in SCORE_TYPES if s not in score_types]
-        nested.drop(*drop).write.mode("overwrite").option("ignoreNullFields", False).json(out)
-    return filters.losses(got.peptides, f)
+        published(nested.drop(*drop)).write.mode("overwrite").option("ignoreNullFields", False).json(out)
+    LOG.info("dataset written to %s", out)
+    return filters.report(got.peptides, f)

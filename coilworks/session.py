@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(folder: str | None, name: str, key: object, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` written as Parquet under ``folder``, or read from there if the same key was written before.
+
+    The key names everything the result depends on. Only a stage that was
+    finished counts; without a folder the result is a checkpoint of this run.
+    """
+    if folder is None:
+        return checkpoint(make())
+    spark = SparkSession.active()
+    path = f"{folder.rstrip('/')}/{name}-{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for rows that are few bytes but costly to process in Python.
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_PATTERN = r"bmr(\d+)_3\.str"
+MAX_DOUBLES = 100_000  #: paths of ids given twice that may be broadcast
 
 ENTRY = """struct<exp_method:string,exp_method_subtype:string,title:string,submission_date:string,citation_title:string,citation_doi:string,
 assemblies:array<struct<id:string,name:string,details:string,entities:array<struct<id:string,entity_id:string,label:string,state:string>>>>,
@@ -157,46 +158,57 @@ def parse(texts: DataFrame) -> DataFrame:
                         raise ValueError("no text")
                     entries.append(entry(t))
                     errors.append(None)
-                except ValueError as e:
+                except Exception as e:  # whatever is wrong with one file must not end the build
                     entries.append(None)
-                    errors.append(str(e))
+                    errors.append(str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}")
             yield pd.DataFrame({"entry_id": pdf.entry_id, "error": pd.Series(errors, dtype=object), "entry": pd.Series(entries, dtype=object)})
 
     return texts.select(F.col("entry_id").cast("string").alias("entry_id"), "text").mapInPandas(run, f"entry_id string, error string, entry {ENTRY}")
 
 
-def find_files(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """entry_id, path of the files whose whole name matches; one level down only if none is in the folder itself.
+def _named_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """entry_id, path, length, modificationTime, content of the files whose whole name matches.
 
-    The id is the pattern's first group; of files with one id the last path counts.
+    One level down only if none is in the folder itself; the id is the pattern's first group.
     """
 
     def listed(where: str) -> DataFrame:
-        files = spark.read.format("binaryFile").load(where).select("path")
+        files = spark.read.format("binaryFile").load(where)
         name = F.regexp_extract("path", r"([^/]+)$", 1)
-        return files.filter(name.rlike(f"^(?:{pattern})$")).select(F.regexp_extract(name, f"^(?:{pattern})$", 1).alias("entry_id"), "path")
+        return files.filter(name.rlike(f"^(?:{pattern})$")).withColumn("entry_id", F.regexp_extract(name, f"^(?:{pattern})$", 1))
 
     from pyspark.errors import AnalysisException
 
     try:
         here = listed(folder)
-        found = None if here.isEmpty() else here
+        found = None if here.select("path").isEmpty() else here
     except AnalysisException:
         found = None
     if found is None:
         found = listed(f"{folder.rstrip('/')}/*/")
-    return found.groupBy("entry_id").agg(F.max("path").alias("path"))
+    return found
 
 
-def read_entries(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
-    """Parsed entries of a folder: entry_id, error, entry."""
-    names = find_files(spark, folder, pattern)
-    # the content is read once, where it is parsed; only paths are grouped
-    files = spark.read.format("binaryFile").load([folder, f"{folder.rstrip('/')}/*/"] if _has_sub(spark, folder) else folder).select("path", F.col("content").cast("string").alias("text"))
-    return parse(files.join(names, "path").select("entry_id", "text"))
+def find_files(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
+    """entry_id, path of the matching files; of files with one id the last path counts."""
+    return _named_files(spark, folder, pattern).groupBy("entry_id").agg(F.max("path").alias("path"))
 
 
-def _has_sub(spark: SparkSession, folder: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*/*")
-    return len(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)) > 0
+def read_entries(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> DataFrame:
+    """Parsed entries of a folder: entry_id, error, entry."""
+    named = _named_files(spark, folder, pattern)
+    # the content is read once, where it is parsed; only the paths of ids given twice meet it
+    texts = named.select("entry_id", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    paths = named.select("entry_id", "path")
+    last = paths.groupBy("entry_id").agg(F.max("path").alias("last"), F.count("*").alias("n")).filter("n > 1").select("entry_id", "last")
+    doubles = paths.join(last, "entry_id").filter("path <> last").select("path")
+    few = doubles.count()
+    if few:
+        texts = texts.join(F.broadcast(doubles) if few <= MAX_DOUBLES else doubles, "path", "left_anti")
+    return parse(texts.select("entry_id", "text"))
+
+
+def fingerprint(spark: SparkSession, folder: str, pattern: str = FILE_PATTERN) -> tuple:
+    """What the files of a folder are: changes when a path, size or time does. One pass over the listing."""
+    one = _named_files(spark, folder, pattern).select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"), "length")
+    return (pattern, *one.agg(F.count("*"), F.sum("length"), F.sum("h"), F.bit_xor(F.col("h").cast("bigint"))).first())

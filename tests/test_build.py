@@ -1,7 +1,10 @@
+import json
+
 import pytest
 
 from coilworks import cli
 from coilworks.functions import coil_tables as ct
+from coilworks.functions.chi import ATOMS
 from coilworks.operators import conditions, filters
 from coilworks.params import PRESETS
 from coilworks.params import filters as preset
@@ -142,7 +145,7 @@ def test_build_end_to_end(spark, folder, tmp_path):
     assert [r.entry_id for r in got.failed.collect()] == ["4"]
     flags = {r.entry_id: (r.pass_pre, r.pass_post) for r in got.peptides.collect()}
     # 2, 3 and 5 have no usable shift table; 9 and 10 have rejected shifts
-    assert flags == {"1": (True, flags["1"][1]), "6": (True, flags["1"][1]), "7": (False, False), "8": (False, False), "9": (False, False), "10": (False, False)}
+    assert flags == {"1": (True, True), "6": (True, True), "7": (False, False), "8": (False, False), "9": (False, False), "10": (False, False)}
     whole = dataset.build(entries, preset("unfiltered"), ct.rule_tables())
     nested = whole.nested
     one = nested.filter("entry_id = '1'").collect()[0]
@@ -154,8 +157,23 @@ def test_build_end_to_end(spark, folder, tmp_path):
         assert len(row.shift_CA) == len(SEQ) and row.shift_CA[0] == pytest.approx(ct.centre()["M"]["CA"]) and row.shift_CB == [None] * len(SEQ)
         g = SEQ.index("G")
         assert (row.shift_HA[g] is not None) == averaging and (averaging or row.shift_HA2[g] is not None)
-    report = dataset.run(spark, folder, str(tmp_path / "out"), preset("unfiltered"), "json", tables=ct.rule_tables())
-    assert report.count() == 10 and spark.read.json(str(tmp_path / "out")).count() >= 2
+    reasons = {r.entry_id: r.reason for r in got.peptides.collect()}
+    assert reasons["1"] is None and reasons["7"] == "pre-filter" and reasons["9"] == "shifts rejected"
+    run = lambda kind, out, **more: dataset.run(spark, folder, str(tmp_path / out), preset("tolerant"), kind, tables=ct.rule_tables(), cache=str(tmp_path / "cache"), **more)
+    report = {(r.stage, r.criterion): r for r in run("json", "out").collect()}
+    lines = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
+    assert sorted(r["entryID"] for r in lines) == ["1", "6"]
+    assert list(lines[0])[:19] == ["ID", "entryID", "stID", "entity_assemID", "entityID", "entity_name", "exp_method", "exp_method_subtype", "citation_DOI", "citation_title", "ionic_strength", "pH", "temperature", "off_C", "off_CA", "off_CB", "off_H", "off_HA", "off_HB"]
+    assert report["pre", "chemical urea"].filtered == 1 and report["total", "remaining_for_scores"].filtered == 2 and report["total", "final_dataset"].filtered == 2 and report["total", "filtered_post"].percent == 0.0
+    assert {c for s, c in report if s == "offset"} == set(ATOMS) and {c for s, c in report if s == "post"} == {"shift_types", "shift_positions", "shift_fraction", "computation"}
+    stages = sorted(p.name for p in (tmp_path / "cache").iterdir())
+    run("csv", "rows", include_shifts=True)
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == stages and len(stages) == 5  # reused
+    table = spark.read.csv(str(tmp_path / "rows"), header=True)
+    assert table.columns == ["ID", "entryID", "stID", "entity_assemID", "entityID", "entity_name", "seq_index", "seq", "k", "zscores", "pscores", *ATOMS] and table.count() == 2 * len(SEQ)
+    uneven = nested.withColumn("k", F.array(F.lit(1)))
+    with pytest.raises(Exception, match="unequal"):
+        dataset.long_rows(uneven).collect()
     with pytest.raises(ValueError):
         dataset.run(spark, folder, str(tmp_path / "o"), preset(), "xml")
     with pytest.raises(ValueError):
@@ -163,6 +181,29 @@ def test_build_end_to_end(spark, folder, tmp_path):
     assert dataset.build(entries.limit(0), preset(), ct.rule_tables()).nested.count() == 0
 
 
+def test_broken_files_and_ids_given_twice(spark, tmp_path):
+    (tmp_path / "bmr1_3.str").write_text(star_text("1"))
+    (tmp_path / "bmr2_3.str").write_text("save_a\n_X.Sf_category assembly\n_X.ID")
+    (tmp_path / "xbmr1_3.str").write_text("nothing")
+    (tmp_path / "bmr3_3.str").write_bytes(b"\xff\xfe\x00")
+    got = {r.entry_id: r.error for r in star.read_entries(spark, str(tmp_path)).collect()}
+    assert got["1"] is None and got["2"] and got["3"] and len(got) == 3
+    twice = {r.entry_id: r.error for r in star.read_entries(spark, str(tmp_path), r"x?bmr(\d+)_3\.str").collect()}
+    assert len(twice) == 3 and twice["1"] == "no assembly"  # the last path counts
+    before = star.fingerprint(spark, str(tmp_path))
+    (tmp_path / "bmr2_3.str").write_text("changed")
+    assert star.fingerprint(spark, str(tmp_path)) != before
+
+
+def test_predictor(spark):
+    from coilworks import predict
+
+    lines = predict.table(spark, "madeghk", 6.0, 298, 0.1, ct.rule_tables()).collect()
+    assert [r.pos for r in lines] == [2, 3, 4, 5, 6] and lines[0].line.startswith("2    A")
+    with pytest.raises(ValueError):
+        predict.table(spark, "mad", 6.0, 298, 0.1, ct.rule_tables())
+
+
 def test_options():
     args, f = cli.options(["--input-dir", "a", "--output", "b", "--filter-defaults", "strict", "--max-offset", "5", "--peptide-length-range", "7", "--keywords-blacklist", "x", "y"])
     assert f.max_offset == 5 and f.peptide_length_range == (7, float("inf")) and f.keywords_blacklist == ("x", "y") and f.ph_range == PRESETS["strict"].ph_range
@@ -196,10 +237,18 @@ def test_coefficient_tables(tmp_path):
     assert sum(v is not None for r in ct.centre().values() for v in r.values()) == 137 and len(ct.terminus()) == 14 and sum(map(len, ct.temperature().values())) == 120
     with pytest.raises((ValueError, OSError)):
         ct.load_tables(str(tmp_path))
-    (tmp_path / "neighbour.csv").write_text("atom,aa,p2,p1,m1,m2\nC,A,0.1,0.2,0.3,0.4\n")
-    (tmp_path / "combination.csv").write_text("atom,neipos,centre,neighbour,value\nC,-1,G,r,0.5\n")
+    few = "atom,aa,p2,p1,m1,m2\nC,A,0.1,0.2,0.3,0.4\n"
+    (tmp_path / "neighbour.csv").write_text(few)
+    pairs = [f"{a},{o},{x},{y},0.5" for a in ct.ATOMS for o in (-2, -1, 1, 2) for x in "GPra+-p" for y in "GPra+-p"][: ct.PAIR_ROWS]
+    (tmp_path / "combination.csv").write_text("\n".join(["atom,neipos,centre,neighbour,value", *pairs]))
+    with pytest.raises(ValueError, match="neighbour.csv"):
+        ct.load_tables(str(tmp_path))
+    (tmp_path / "neighbour.csv").write_text("\n".join(["atom,aa,p2,p1,m1,m2", *[f"{a},{aa},0.1,0.2,0.3,0.4" for a in ct.ATOMS for aa in ct.AMINO_ACIDS]]))
     t = ct.load_tables(str(tmp_path))
-    assert t.neighbour["C", "A", -1] == 0.3 and t.combination["C", -1, "G", "r"] == 0.5
+    assert t.neighbour["C", "A", -1] == 0.3 and t.combination["C", -2, "G", "r"] == 0.5 and len(t.neighbour) == 560
+    (tmp_path / "combination.csv").write_text("\n".join(["atom,neipos,centre,neighbour,value", *pairs[1:]]))
+    with pytest.raises(ValueError, match="247"):
+        ct.load_tables(str(tmp_path))
 
 
 def test_sinks(spark, tmp_path):
