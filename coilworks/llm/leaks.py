@@ -17,9 +17,9 @@ least threshold; opened items take their impacts from the strongest term down
 and are dropped as soon as what is left cannot lift them to their threshold.
 
 Statistics are those of all items. The index is built in tasks, in pieces of
-bounded size (about 12 bytes a posting and 8 a word, under 1 KB for an item of 60
-words), and broadcast up to a bound in bytes: 100,000 such items are one pass over
-the documents. More items make more passes, one after the other. Documents are
+bounded size (measured: about 1.1 KB for an item of 60 words, vocabulary included),
+and broadcast up to a bound in bytes: 100,000 such items would be some 110 MB, one
+pass over the documents. More items make more passes, one after the other. Documents are
 never shuffled.
 """
 
