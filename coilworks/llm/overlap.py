@@ -2,43 +2,37 @@
 
 Edit-distance segment join. Every distinct evaluation string of length L is cut
 into k+1 segments, k being the largest edit distance any training string of an
-admissible length may have; at most k edits leave one segment whole. Training
-strings give their substrings of the segment's length, and a pair is a candidate
-if a segment stands in the training string at a position that the edits before
-and after it allow (multi-match-aware windows). Candidates are verified by
-Spark's ``levenshtein`` with a threshold, a banded dynamic program in the JVM.
-
-The join key holds the segment, the band of the training string's length and a
-bucket of the position in it; a segment is sent to the few bands and buckets it
-may match. So a segment that stands in very many strings is split by where it
-stands and in strings of what length, and what is left is split by adaptive
-skew joins. Substrings that no evaluation string has are dropped before the
-shuffle by a bitmap of all keys: 2^WORD_BITS words of 64 bits, a fixed size
-whatever the data, joined as a broadcast table; when it fills up it only drops
-less.
+admissible length may have; at most k edits leave one segment whole. A pair is a
+candidate if a segment stands in the training string at a position that the edits
+before and after it allow (multi-match-aware windows) and if its letter counts
+allow the distance. Candidates are verified by Spark's ``levenshtein`` with a
+threshold, a banded dynamic program in the JVM.
+
+What is shuffled are the strings, never their segments or substrings, which are
+many times as large: a training string goes to the band of its length, an
+evaluation string to the two or three bands of the lengths it may match, and
+``nearby`` looks for common segments within a band. A band with many letters is
+dealt into pieces on either side, and each piece meets each of the other side, so
+that a group fits a Python worker whatever the data. Only the letters in each
+band, a row for each side, reach the driver; no broadcast is asked for.
 
 Equal strings are joined once and expanded to rows at the end, so copies, even a
-third of all rows, cost one string. All joins are equi-joins on a hashed key or
-an id (a hash collision only adds a candidate that verification rejects);
-nothing is collected.
+third of all rows, cost one string. Rows and strings meet by a digest of 128 bits.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coilworks.llm import residues
-from coilworks.session import checkpoint
+from coilworks.llm import nearby, residues
 
 PERCENT = 15  #: edit distance allowed, in per cent of the longer length
-WORD_BITS = 18  #: the bitmap of keys has 2^WORD_BITS words (2 MB)
-
-# lengths: train <= 100 L / (100-p); k = p * longest / 100; k+1 segments; q letters of each are compared
-_K = "cast(floor({p} * floor(100 * len / (100 - {p})) / 100) as int)"
-_Q = "cast(floor(len / (k + 1)) as int)"
+PIECE = 16_000_000  #: letters that either side of a group has at most, about
 
 
 def _band(length: str, percent: int) -> str:
@@ -46,80 +40,66 @@ def _band(length: str, percent: int) -> str:
     return f"cast(floor(ln({length}) / {-math.log(1 - percent / 100)!r}D) as int)"
 
 
-def _bucket(position: str, band: str, percent: int) -> str:
-    """Bucket of a position: two edit distances of the band wide, so that a window reaches one or two."""
-    width = f"greatest(1D, floor(2 * {percent} * exp(({band} + 1) * {-math.log(1 - percent / 100)!r}D) / 100))"
-    return f"cast(floor({position} / {width}) as int)"
-
-
-def distinct_strings(rows: DataFrame) -> DataFrame:
-    """One row for each string: res, sid (smallest ent_row), len, in_train, in_eval."""
-    return rows.groupBy("res").agg(
-        F.min("ent_row").alias("sid"), F.first(F.length("res")).alias("len"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval")
-    )
-
-
-def segments(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Segments of evaluation strings: sid_e, len_e, i (place), key.
-
-    Segment i starts at floor(i * L / (k+1)), so each has q or q+1 letters; the
-    first q are compared, so that all segments of a string have one length. One
-    row for each band of admissible lengths and bucket of admissible positions.
-    """
+def _bands(percent: int) -> str:
+    """Bands of the training strings that an evaluation string may match."""
     shortest, most = f"cast(ceil(len * {100 - percent} / 100) as int)", f"cast(floor(100 * len / {100 - percent}) as int)"
-    cut = strings.filter("in_eval").select("sid", "res", "len").withColumn("k", F.expr(_K.format(p=percent))).withColumn("q", F.expr(_Q)).filter("q > 0")
-    cut = cut.selectExpr("*", f"greatest(1, {shortest}) as least", f"greatest(len, {most}) as most", "explode(sequence(0, k)) as i")
-    cut = cut.selectExpr("*", "cast(floor(cast(i as bigint) * len / (k + 1)) as int) as p", f"explode(sequence({_band('least', percent)}, {_band('most', percent)})) as band")
-    # shifts that some admissible length allows
-    low, high = "greatest(0, p + greatest(-i, least - len - (k - i)))", "greatest(0, p + least(i, most - len + (k - i)))"
-    cut = cut.selectExpr("*", f"explode(sequence({_bucket(low, 'band', percent)}, {_bucket(high, 'band', percent)})) as bucket")
-    return cut.selectExpr("sid as sid_e", "len as len_e", "i", "xxhash64(q, band, bucket, substring(res, p + 1, q)) as key")
+    return f"sequence({_band(f'greatest(1, {shortest})', percent)}, {_band(f'greatest(len, {most})', percent)})"
 
 
-def substrings(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Substrings of training strings: sid_t, len_t, p_t (start), key.
+def digest(res: Column) -> Column:
+    """128 bits that stand for a string."""
+    return F.substring(F.unhex(F.sha2(res, 256)), 1, 16)
 
-    In every size an admissible evaluation string is cut to: few lengths are
-    admissible (0.85 to 1.18 of the length), and the distinct sizes among them
-    are fewer still.
-    """
-    sized = strings.filter("in_train").select("sid", "res", "len")
-    shortest, most = f"cast(ceil(len * {100 - percent} / 100) as int)", f"cast(floor(100 * len / {100 - percent}) as int)"
-    q = f"cast(floor(n / (floor({percent} * floor(100 * n / {100 - percent}) / 100) + 1)) as int)"
-    sized = sized.selectExpr("sid", "res", "len", f"{_band('len', percent)} as band", f"explode(array_distinct(transform(sequence({shortest}, greatest({shortest}, {most})), n -> {q}))) as q").filter("q > 0 and q <= len")
-    placed = sized.selectExpr("*", "explode(sequence(0, len - q)) as p_t")
-    return placed.selectExpr("sid as sid_t", "len as len_t", "p_t", f"xxhash64(q, band, {_bucket('p_t', 'band', percent)}, substring(res, p_t + 1, q)) as key")
-
-
-_WORD, _BIT = f"cast(key & {(1 << WORD_BITS) - 1} as int)", "cast(shiftrightunsigned(key, 58) as int)"
-
-
-def in_bitmap(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose key is not among ``keys``: a Bloom filter of one bit a key."""
-    words = keys.selectExpr(f"{_WORD} as word", f"shiftleft(1L, {_BIT}) as mask").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    # at most 2^WORD_BITS rows of 12 bytes
-    marked = rows.withColumn("word", F.expr(_WORD)).join(F.broadcast(words), "word")
-    return marked.filter(F.expr(f"getbit(mask, {_BIT}) = 1")).drop("word", "mask")
 
+def distinct_strings(rows: DataFrame) -> DataFrame:
+    """One row for each string: res, sid (smallest ent_row), in_train, in_eval."""
+    return rows.groupBy("res").agg(F.min("ent_row").alias("sid"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
 
-def candidates(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (sid_e, sid_t) with a common segment at an allowed position."""
-    e = segments(strings, percent)
-    t = in_bitmap(substrings(strings, percent), e.select("key"))
-    k = F.expr(_K.format(p=percent).replace("len", "len_e"))
-    start = F.floor(F.col("i").cast("bigint") * F.col("len_e") / (k + 1))
-    delta, shift = F.col("len_t") - F.col("len_e"), F.col("p_t") - start
-    longest = F.greatest("len_e", "len_t")
-    allowed = (100 * F.abs(delta) <= percent * longest) & (F.abs(shift) <= F.col("i")) & (F.abs(shift - delta) <= k - F.col("i"))
-    return e.join(t, "key").filter(allowed).select("sid_e", "sid_t").distinct()
 
+def pieces(rows: DataFrame, percent: int = PERCENT, most: int = PIECE) -> dict[int, tuple[int, int]]:
+    """Each band that has both sides: the pieces of its training strings and of the evaluation strings that may match them.
 
-def string_pairs(strings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified pairs of distinct strings: sid_e, sid_t, distance."""
-    text = strings.select("sid", "res")
-    found = candidates(strings, percent).join(text.toDF("sid_e", "res_e"), "sid_e").join(text.toDF("sid_t", "res_t"), "sid_t")
+    From the letters of the distinct strings, about: a wrong estimate changes only the size of a piece.
+    """
+    sides = rows.select("res", F.length("res").alias("len"), (F.col("split") == "train").alias("train"))
+    sides = sides.selectExpr("res", "len", "train", f"explode(if(train, array({_band('len', percent)}), {_bands(percent)})) as band")
+    sizes = sides.groupBy("band", "train").agg((F.approx_count_distinct("res") * F.avg("len")).alias("letters")).collect()
+    needed = {(r.band, r.train): max(1, math.ceil(r.letters / most)) for r in sizes}
+    return {band: (n, needed[band, False]) for (band, train), n in needed.items() if train and (band, False) in needed}
+
+
+def dealt(strings: DataFrame, percent: int, dealing: dict[int, tuple[int, int]]) -> DataFrame:
+    """band, part_t, part_e (the group), held, sid, res: each string in every group in which it may have a partner."""
+    of = ", ".join(f"{band}, struct({t} as t, {e} as e)" for band, (t, e) in sorted(dealing.items()))
+    if not of:
+        return strings.selectExpr("0 as band", "0 as part_t", "0 as part_e", "in_eval as held", "sid", "res").limit(0)
+    train, held = f"array({_band('len', percent)})", _bands(percent)
+    to_train = "transform(sequence(0, b.n.e - 1), j -> struct(b.band as band, cast(pmod(xxhash64(sid), b.n.t) as int) as part_t, j as part_e, false as held))"
+    to_held = "transform(sequence(0, b.n.t - 1), j -> struct(b.band as band, j as part_t, cast(pmod(xxhash64(sid), b.n.e) as int) as part_e, true as held))"
+    met = "filter(transform({bands}, band -> struct(band, of[band] as n)), b -> b.n is not null)"
+    groups = [f"if({side}, flatten(transform({met.format(bands=bands)}, b -> {to})), array())" for side, bands, to in (("in_train", train, to_train), ("in_eval", held, to_held))]
+    sized = strings.selectExpr("*", "length(res) as len", f"map({of}) as of")
+    return sized.selectExpr(f"inline(concat({', '.join(groups)}))", "sid", "res")
+
+
+def candidates(strings: DataFrame, percent: int, dealing: dict[int, tuple[int, int]]) -> DataFrame:
+    """sid_e, res_e, sid_t, res_t: pairs with a common segment at an allowed position and letter counts near enough."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return nearby.of_group(batches, percent)
+
+    spark, group = strings.sparkSession, ["band", "part_t", "part_e"]
+    # by number, as groups are few bytes but costly, and adaptive execution would join them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt(strings, percent, dealing).repartition(parts, *group).groupBy(*group).applyInArrow(found, "sid_e bigint, res_e string, sid_t bigint, res_t string")
+
+
+def string_pairs(rows: DataFrame, percent: int = PERCENT, most: int = PIECE) -> DataFrame:
+    """Verified pairs of distinct strings: sid_e, sid_t, distance, key_e, key_t (their digests)."""
+    found = candidates(distinct_strings(rows), percent, pieces(rows, percent, most))
     found = found.withColumn("distance", F.expr(f"levenshtein(res_e, res_t, cast({percent} * greatest(length(res_e), length(res_t)) div 100 as int))"))
-    return found.filter("distance >= 0").select("sid_e", "sid_t", "distance")
+    # a pair may come twice from a group with very many
+    return found.filter("distance >= 0").select("sid_e", "sid_t", "distance", digest(F.col("res_e")).alias("key_e"), digest(F.col("res_t")).alias("key_t")).distinct()
 
 
 def split_rows(entities: DataFrame) -> DataFrame:
@@ -141,13 +121,12 @@ def overlaps(entities: DataFrame, percent: int = PERCENT) -> DataFrame:
     once for each delivery.
     """
     rows = split_rows(entities)
-    strings = checkpoint(distinct_strings(rows))
-    named = rows.join(strings.select("res", "sid"), "res").drop("res")
-    held, train = named.filter("split <> 'train'"), named.filter("split = 'train'")
+    keyed = rows.withColumn("key", digest(F.col("res")))
+    held, train = keyed.filter("split <> 'train'"), keyed.filter("split = 'train'")
     return (
-        string_pairs(strings, percent)
-        .join(held.select(F.col("sid").alias("sid_e"), F.col("ent_row").alias("ent_row_e"), "split", "feed"), "sid_e")
-        .join(train.select(F.col("sid").alias("sid_t"), F.col("ent_row").alias("ent_row_t"), F.col("feed").alias("feed_t")), "sid_t")
+        string_pairs(rows, percent)
+        .join(held.select(F.col("key").alias("key_e"), F.col("ent_row").alias("ent_row_e"), "split", "feed"), "key_e")
+        .join(train.select(F.col("key").alias("key_t"), F.col("ent_row").alias("ent_row_t"), F.col("feed").alias("feed_t")), "key_t")
         .select("ent_row_e", "split", "feed", "ent_row_t", "feed_t", "distance")
     )
 
@@ -165,7 +144,7 @@ def representative_pairs(entities: DataFrame) -> DataFrame:
     string that stands in a third of train and of val is one pair. A string that
     stands in both splits is paired with itself at distance 0.
     """
-    return string_pairs(checkpoint(distinct_strings(split_rows(entities))))
+    return string_pairs(split_rows(entities)).select("sid_e", "sid_t", "distance")
 
 
 def row_pairs(entities: DataFrame) -> DataFrame:

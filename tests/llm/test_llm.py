@@ -2,12 +2,13 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from coilworks.llm import canonical, grouping, leaks, lookalikes, mixing, overlap, residues, terms
+from coilworks.llm import canonical, grouping, leaks, lookalikes, mixing, nearby, overlap, residues, terms
 from coilworks.llm.lookalikes import skeleton, words
 
 AA = "ACDEFGHIKLMNPQRSTVWY"
@@ -85,6 +86,40 @@ def test_one_segment_in_every_row(spark):
     assert len(pairs) == len(set(pairs)) and {tuple(sorted((i, j))) for x, y in pairs for i in of for j in of if (of[i], of[j]) == (x, y) and rows[i][5] == "val" and rows[j][5] == "train"} == want
 
 
+def test_strings_are_shuffled_in_pieces_and_nothing_is_broadcast(spark):
+    """The join's volume follows the strings, groups are bounded, and the driver holds none of it; more pieces give the same pairs."""
+    rng = random.Random(31)
+    rows = []
+    for n in range(150):
+        body = "".join(rng.choice(AA) for _ in range(rng.choice([5, 30, 60, 110, 400])))
+        rows += [(3 * n + j, "e", str(n), P, mutated(rng, body, rng.randrange(len(body) // 8 + 1)), split, "f") for j, split in enumerate(("train", "val", "train"))]
+    e = entities(spark, rows)
+    plan = overlap.row_pairs(e)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "Generate explode" not in plan
+    kept = overlap.split_rows(e)
+    strings = overlap.distinct_strings(kept)
+    assert overlap.dealt(strings, 15, overlap.pieces(kept)).count() <= 4 * strings.count()
+    few = overlap.pieces(kept, most=2000)
+    assert max(t for t, _ in few.values()) > 2 and max(h for _, h in few.values()) > 2
+    sizes = overlap.dealt(strings, 15, few).groupBy("band", "part_t", "part_e", "held").agg(F.sum(F.length("res")).alias("letters"))
+    assert sizes.agg(F.max("letters")).first()[0] <= 3 * 2000
+    whole, parts = (sorted((r.sid_e, r.sid_t, r.distance) for r in overlap.string_pairs(kept, most=m).collect()) for m in (overlap.PIECE, 2000))
+    assert whole == parts and len(set(parts)) == len(parts) >= 200
+
+
+@pytest.mark.parametrize("percent", [5, 15, 30])
+def test_near_pairs_in_small_blocks(monkeypatch, percent):
+    """Blocks of a few strings, segments and pairs lose none of the pairs of brute force."""
+    for name, size in (("STEP", 3), ("STRINGS", 7), ("HITS", 11), ("BAGS", 5), ("PAIRS", 20)):
+        monkeypatch.setattr(nearby, name, size)
+    rng = random.Random(percent)
+    base = ["".join(rng.choice("ACDEFG") for _ in range(rng.choice([1, 2, 5, 6, 9, 20, 41, 70, 300]))) for _ in range(25)] + ["A" * 40, "HHHHHHGSSGSSG" * 4]
+    held, train = ([mutated(rng, b, rng.randrange(len(b) * percent // 100 + 2)) or "A" for b in base] for _ in range(2))
+    got = {(int(i), int(j)) for e, t in nearby.near_pairs(nearby.Strings(pa.array(held)), nearby.Strings(pa.array(train)), percent) for i, j in zip(e, t)}
+    want = {(i, j) for i, a in enumerate(held) for j, b in enumerate(train) if 100 * abs(len(a) - len(b)) <= percent * max(len(a), len(b)) and 100 * edit(a, b) <= percent * max(len(a), len(b))}
+    assert want <= got and len(want) >= 5
+
+
 def test_no_overlaps_in_an_empty_table(spark):
     assert overlap.row_pairs(entities(spark, [])).count() == 0
     c = overlap.overlap_counts(entities(spark, [(1, "e", "1", P, "ACDEFGHIKL", "val", "f"), (2, "e", "2", P, "ACDEFGHIKL", "train", "f"), (3, "e", "3", P, "WWWWWWWWWW", "val", "f")])).collect()
